@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontam import decontaminate
 from .html import extract
+from .licences import scan_licences
+from .mixing import mix
 from .pii import find_pii
 from .quality import quality
 from .substrings import drop_repeats
@@ -16,6 +18,10 @@ from .tokens import count_tokens
 from .toxicity import toxicity
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(table(spark, sf_dir, "documents"))
 
@@ -32,6 +38,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text", "source")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +54,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_token_counts, op5_quality_bands, op6_pii, op8_decontamination, op9_html_text, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licence_scan, op2_substring_dedup, op3_token_counts, op5_quality_bands, op6_pii, op7_source_mixing, op8_decontamination, op9_html_text, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
