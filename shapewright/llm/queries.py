@@ -11,6 +11,7 @@ from .decontam import decontaminate
 from .html import extract
 from .licences import scan_licences
 from .mixing import mix
+from .nearjoin import near_join
 from .pii import find_pii
 from .quality import quality
 from .substrings import drop_repeats
@@ -30,6 +31,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licence_scan, op2_substring_dedup, op3_token_counts, op5_quality_bands, op6_pii, op7_source_mixing, op8_decontamination, op9_html_text, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licence_scan, op2_substring_dedup, op3_token_counts, op4_ngram_jaccard_join, op5_quality_bands, op6_pii, op7_source_mixing, op8_decontamination, op9_html_text, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
