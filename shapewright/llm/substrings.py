@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, odd_constants, text_bytes, text_size, window_hash
+from .common import hashed_words, odd_constants, text_bytes, text_size, window_hash
 
 WINDOW = 13
 DEPTH = 2
@@ -31,8 +31,6 @@ SHARD_CELLS = 3_000_000
 BLOB = "key long, block long, blob binary"
 LOW = 16
 
-_HASHES = WordHashes()
-
 
 class Block:
     """The windows of a block's texts, in a fixed order."""
@@ -43,26 +41,31 @@ class Block:
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
         self.ids = [ids[i] for i in order]
         self.texts = [texts[i] for i in order]
-        a, b, doc, start = [], [], [], []
-        fa, fb = odd_constants(window, "window-a"), odd_constants(window, "window-b")
-        self.n_words = []
-        for k, text in enumerate(self.texts):
-            words = text.split()
-            self.n_words.append(len(words))
-            if len(words) < window or self.ids[k] is None:
-                continue
-            _HASHES.trim()
-            ha, hb = _HASHES.two(_HASHES.ids(words))
-            a.append(window_hash(ha, fa))
-            b.append(window_hash(hb, fb))
-            doc.append(np.full(len(a[-1]), k, np.int64))
-            start.append(np.arange(len(a[-1])))
-        none = np.zeros(0, np.int64)
-        self.a, self.b = (np.concatenate(x) if x else none.astype(np.uint64) for x in (a, b))
-        self.doc, self.start = (np.concatenate(x) if x else none for x in (doc, start))
-
-    def cells(self, bits: int) -> list[np.ndarray]:
-        return [x >> np.uint64(64 - bits) for x in (self.a, self.b)]
+        wa, wb, at = hashed_words(self.texts)
+        self.n_words = np.diff(at).tolist()
+        n = max(0, len(wa) - window + 1)
+        doc = np.repeat(np.arange(len(ids)), np.diff(at))[:n]
+        # windows lie within one text
+        ok = np.flatnonzero(np.arange(n) + window <= at[doc + 1])
+        if any(i is None for i in self.ids):
+            ok = ok[np.array([i is not None for i in self.ids])[doc[ok]]]
+        self.doc = doc[ok]
+        self.start = ok - at[self.doc]
+        if n:
+            self.a = window_hash(wa, odd_constants(window, "window-a"))[ok]
+            self.b = window_hash(wb, odd_constants(window, "window-b"))[ok]
+        else:
+            self.a = self.b = np.zeros(0, np.uint64)
+        self.order = np.argsort(self.a)
+
+    def rows(self, bits: int):
+        """For each row of the sketch: its occupied cells, sorted, and for the windows in some order the place of their cell."""
+        for x, order in ((self.a, self.order), (self.b, None)):
+            order = np.argsort(x) if order is None else order
+            cells = x[order] >> np.uint64(64 - bits)
+            first = np.ones(len(cells), bool)
+            first[1:] = cells[1:] != cells[:-1]
+            yield cells[first], order, np.cumsum(first) - 1
 
 
 def shards_of(values: np.ndarray, n: int, bits: int) -> np.ndarray:
@@ -112,8 +115,7 @@ class Plan:
         block = key[0].as_py()
         b = Block(table, self.window)
         out = ([], [], [])
-        for r, cells in enumerate(b.cells(self.bits)):
-            cells = np.unique(cells)
+        for r, (cells, _, _) in enumerate(b.rows(self.bits)):
             at = shards_of(cells, self.shards, self.bits)
             for s in range(self.shards):
                 if at[s] < at[s + 1]:
@@ -136,16 +138,15 @@ class Plan:
     def estimated(self, b: Block, got: dict[int, bytes]) -> np.ndarray:
         """Which windows every row of the merged sketch counts in two blocks or more."""
         out = np.ones(len(b.a), bool)
-        for r, cells in enumerate(b.cells(self.bits)):
-            own = np.unique(cells)
+        for r, (own, order, place) in enumerate(b.rows(self.bits)):
             size = np.diff(shards_of(own, self.shards, self.bits))
             bits = bits_of([got[r * self.shards + s] for s in range(self.shards) if size[s]], size[size > 0])
-            out &= bits[np.searchsorted(own, cells)]
+            out[order] &= bits[place]
         return out
 
     def groups(self, b: Block, likely: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(windows that repeat in the block or by estimate elsewhere, by hash and document; starts of groups; group of each)"""
-        order = np.argsort(b.a, kind="stable")
+        order = b.order
         same = b.a[order[1:]] == b.a[order[:-1]]
         pick = likely.copy()
         pick[order[1:][same]] = True
