@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..terms import NIL, RDF, SPARQL, XSD, ShapeError, is_blank, local, parts, sh, shnex
+from ..terms import RDF, SPARQL, XSD, ShapeError, is_blank, local, parts, sh, shnex
 from .library import FUNCTIONS, boolean, call, integer, numeric
 from .xsd import DEC, TERM, constant, node_term
 
@@ -59,9 +59,7 @@ class Expressions:
             raise ShapeError("an expression is nested too deeply")
         if node == sh("this"):
             return df, F.array("f")
-        if node == NIL:
-            return df, empty()
-        if not is_blank(node):
+        if not is_blank(node):  # rdf:nil too is a constant
             return df, F.array(constant(node))
         g = self.g
         items = g.list(node) if g.objects(node, f"<{RDF}first>") else None
