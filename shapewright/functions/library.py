@@ -124,7 +124,7 @@ def iri(value: Column) -> Column:
 
 
 def arithmetic(name: str, exact: Callable[[Column, Column], Column], rough: Callable[[Column, Column], Column]) -> None:
-    def f(a: Column, b: Column) -> Column:
+    def f(a: Column, b: Column, dates: bool = True) -> Column:
         dt = wider(a, b)
         if name == "divide":
             dt = F.when(dt == XSD + "integer", XSD + "decimal").otherwise(dt)
@@ -133,11 +133,15 @@ def arithmetic(name: str, exact: Callable[[Column, Column], Column], rough: Call
         dec = F.when(ok & dt.isin(XSD + "integer", XSD + "decimal"), exact(x, y))
         num = F.when(ok & dt.isin(XSD + "double", XSD + "float"), rough(of(a, "num"), of(b, "num")))
         out = numeric(num, dec, dt)
-        if name in ("plus", "subtract"):
+        if dates and name in ("plus", "subtract"):
             out = F.coalesce(out, moved(a, b, name == "plus"), *([moved(b, a, True)] if name == "plus" else [between(a, b)]))
         return out
 
+    def only_numbers(a: Column, b: Column) -> Column:
+        return f(a, b, False)
+
     FUNCTIONS[name] = f
+    FUNCTIONS[name + "#"] = only_numbers  # for operands known to be numbers: a far smaller expression
 
 
 def seconds_of(t: Column) -> tuple[Column, Column]:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.library import call, ebv, equal, integer, numeric, string, text
-from ..functions.xsd import DEC, TERM, constant
+from ..functions.xsd import DEC, NUMERIC, TERM, constant
 from ..operators.paths import walk
 from ..sources.graph import Graph
 from ..terms import RDF, TYPE, XSD, ShapeError, is_iri, literal, parts
@@ -37,7 +37,7 @@ TOKEN = re.compile(
     re.X | re.S,
 )
 AGGREGATES = {"count", "sum", "min", "max", "avg", "sample", "group_concat"}
-ARITY_NONE = {"now", "uuid", "struuid", "rand", "bnode"}
+TESTS = {"logical-and", "logical-or", "logical-not", "equals", "not-equals", "less-than", "less-than-or-equal", "greater-than", "greater-than-or-equal", "bound"}
 
 
 @dataclass
@@ -528,8 +528,9 @@ class Engine:
             elif kind == "bind":
                 if part[1] in df.columns:
                     raise ShapeError(f"?{part[1]} is bound already")
+                names = df.columns
                 df, e = self.prepared(df, part[2], graph)
-                df = df.withColumn(part[1], self.expr(e, df))
+                df = df.withColumn(part[1], self.expr(e, df)).select(*[F.col(f"`{c}`") for c in [*names, part[1]]])
             elif kind == "optional":
                 df = self.optional(df, part[1], graph)
             elif kind == "union":
@@ -602,6 +603,20 @@ class Engine:
             return True
         return isinstance(e, tuple | list) and any(self.exists_in(x) for x in e)
 
+    def flat(self, df: DataFrame, e: tuple) -> tuple[DataFrame, tuple]:
+        """Calls inside calls become columns first, so that an expression isn't written out once for each of its uses."""
+        if e[0] not in ("call", "in"):
+            return df, e
+        args = []
+        for a in e[2] if e[0] == "call" else [e[1], *e[2]]:
+            df, a = self.flat(df, a)
+            if a[0] == "call" and a[1] not in TESTS:
+                self.fresh += 1
+                df = df.withColumn(f"_t{self.fresh}", self.expr(a, df))
+                a = ("var", f"_t{self.fresh}")
+            args.append(a)
+        return df, ("call", e[1], args) if e[0] == "call" else ("in", args[0], args[1:])
+
     def filter(self, df: DataFrame, e: tuple, graph: Graph) -> DataFrame:
         if e[0] == "call" and e[1] == "logical-and":
             return self.filter(self.filter(df, e[2][0], graph), e[2][1], graph)
@@ -609,8 +624,9 @@ class Engine:
             return self.exists(df, e, graph)
         if e[0] == "call" and e[1] == "logical-not" and e[2][0][0] == "exists":
             return self.exists(df, ("exists", not e[2][0][1], e[2][0][2]), graph)
+        names = df.columns
         df, e = self.prepared(df, e, graph)
-        return df.where(F.coalesce(ebv(self.expr(e, df)), F.lit(False)))
+        return df.where(F.coalesce(ebv(self.expr(e, df)), F.lit(False))).select(*[F.col(f"`{c}`") for c in names])
 
     def exists(self, df: DataFrame, e: tuple, graph: Graph) -> DataFrame:
         right = self.group(e[2], graph)
@@ -626,7 +642,7 @@ class Engine:
     def prepared(self, df: DataFrame, e: tuple, graph: Graph) -> tuple[DataFrame, tuple]:
         """Exists inside an expression becomes a column first."""
         if not self.exists_in(e):
-            return df, e
+            return self.flat(df, e)
         if e[0] == "exists":
             self.fresh += 1
             row, flag = f"_row{self.fresh}", f"_flag{self.fresh}"
@@ -744,8 +760,11 @@ class Engine:
         if kind == "col":
             return e[1]
         if kind == "call":
+            name = e[1]
+            if name in ("plus", "subtract") and any(a[0] == "term" and parts(a[1]).dt in NUMERIC for a in e[2]):
+                name += "#"
             try:
-                return call(e[1], [self.expr(x, df) for x in e[2]])
+                return call(name, [self.expr(x, df) for x in e[2]])
             except (KeyError, TypeError) as err:
                 raise ShapeError(f"unknown function or wrong arguments: {e[1]}") from err
         raise ShapeError(f"{kind} can't stand in an expression here")
