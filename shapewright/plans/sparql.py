@@ -8,6 +8,7 @@ starts from the seed and keeps its columns, so grouping, ordering and limits hol
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -603,20 +604,6 @@ class Engine:
             return True
         return isinstance(e, tuple | list) and any(self.exists_in(x) for x in e)
 
-    def flat(self, df: DataFrame, e: tuple) -> tuple[DataFrame, tuple]:
-        """Calls inside calls become columns first, so that an expression isn't written out once for each of its uses."""
-        if e[0] not in ("call", "in"):
-            return df, e
-        args = []
-        for a in e[2] if e[0] == "call" else [e[1], *e[2]]:
-            df, a = self.flat(df, a)
-            if a[0] == "call" and a[1] not in TESTS:
-                self.fresh += 1
-                df = df.withColumn(f"_t{self.fresh}", self.expr(a, df))
-                a = ("var", f"_t{self.fresh}")
-            args.append(a)
-        return df, ("call", e[1], args) if e[0] == "call" else ("in", args[0], args[1:])
-
     def filter(self, df: DataFrame, e: tuple, graph: Graph) -> DataFrame:
         if e[0] == "call" and e[1] == "logical-and":
             return self.filter(self.filter(df, e[2][0], graph), e[2][1], graph)
@@ -642,7 +629,7 @@ class Engine:
     def prepared(self, df: DataFrame, e: tuple, graph: Graph) -> tuple[DataFrame, tuple]:
         """Exists inside an expression becomes a column first."""
         if not self.exists_in(e):
-            return self.flat(df, e)
+            return df, e
         if e[0] == "exists":
             self.fresh += 1
             row, flag = f"_row{self.fresh}", f"_flag{self.fresh}"
@@ -763,8 +750,14 @@ class Engine:
             name = e[1]
             if name in ("plus", "subtract") and any(a[0] == "term" and parts(a[1]).dt in NUMERIC for a in e[2]):
                 name += "#"
+            args = [self.expr(x, df) for x in e[2]]
+            inner = [i for i, x in enumerate(e[2]) if x[0] == "call" and x[1] not in TESTS]
+
+            def outer(values: list[Column]) -> Column:
+                return call(name, [values[inner.index(i)] if i in inner else a for i, a in enumerate(args)])
+
             try:
-                return call(name, [self.expr(x, df) for x in e[2]])
+                return let([args[i] for i in inner], outer)
             except (KeyError, TypeError) as err:
                 raise ShapeError(f"unknown function or wrong arguments: {e[1]}") from err
         raise ShapeError(f"{kind} can't stand in an expression here")
@@ -893,6 +886,14 @@ class Engine:
         return (out if out is not None else self.graph.triples().limit(0)).distinct()
 
 
+def let(values: list[Column], f: Callable[[list[Column]], Column]) -> Column:
+    """f of the values, each of which is written out and worked out once, however often f uses it."""
+    if not values:
+        return f([])
+    packed = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.get(F.transform(F.array(packed), lambda p: f([p.getField(f"v{i}") for i in range(len(values))])), F.lit(0))
+
+
 def term_blank(name: str, df: DataFrame) -> Column:
     """A blank node of a template: one for each solution."""
     from ..functions.xsd import node_term
