@@ -113,6 +113,18 @@ def test_op4_recall_of_paths():
     assert 1 - (1 - nearjoin.meets(4, 0.8)) ** nearjoin.runs_for(4, 0.8, 0.999) >= 0.999
 
 
+def test_op4_pairs_at_threshold_in_split_buckets(spark, monkeypatch):
+    """All buckets are split to the last depth; every pair is at exactly 0.8 (80 of 100 shingles)."""
+    monkeypatch.setattr(nearjoin, "BUCKET", 1)
+    rows = []
+    for i in range(3000):
+        common = [f"w{i}x{k}" for k in range(84)]
+        rows += [(2 * i + side, " ".join(common + [f"v{i}y{side}z{k}" for k in range(10)])) for side in (0, 1)]
+    out = nearjoin.near_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 6000 and sum(r.n_links != 1 for r in out) == 0
+    assert nearjoin.missed(nearjoin.MOST_DEPTH, 0.8, nearjoin.runs_for(nearjoin.MOST_DEPTH, 0.8, nearjoin.RECALL), nearjoin.least_agreeing(0.8, nearjoin.RECALL)) <= 1 - nearjoin.RECALL
+
+
 def test_op3_tokens(real, odd):
     import public_tokenizers
     import sentencepiece
@@ -164,7 +176,6 @@ def test_op5_quality(real, odd):
     assert not quality.compression(b"again and again " * 600, z, quality.BANDS)[3]
     assert quality.compression(prose(400, 3).encode(), z, quality.BANDS)[3]
 
-
 def test_op6_pii(odd, spark):
     text = "mail me: a.b@x.org, card 4111 1111 1111 1111, host 10.0.0.300 10.0.0.30, call +1 (521) 555-6210. IBAN GB82 WEST 1234 5698 7654 32 x@y @z.com 1.2.3.4.5.6.7.8"
     spans = pii.find(text)
@@ -191,7 +202,6 @@ def test_op7_mixing(real, odd):
         done[s] += 1
         assert all(abs(done[x] - (slot + 1) * w / 10) < 1 for x, w in weights.items())
 
-
 def test_op8_decontamination(real, odd, spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     extra = spark.createDataFrame([(1000, "one TWO"), (1001, ""), (None, "alpha1"), (1002, prose(120, 1)[20:300])], "item_id long, text string")
