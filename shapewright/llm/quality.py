@@ -2,7 +2,8 @@
 
 Repetitive text compresses too well and random text hardly at all. A text's zstandard ratio (bytes over compressed
 bytes) must lie in a band that depends on its length, since longer texts give the compressor more to refer back to.
-The same holds for its fixed chunks, so that a stretch of junk in a long text isn't averaged away.
+The same holds for its fixed chunks, so that a stretch of junk in a longer text isn't averaged away. What is left after
+the whole chunks is tested as a chunk that ends with the text.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ SYMBOLS = b"#*$%&|<>"
 class Bands:
     """Limits for ratios. `limits` has (bytes from, least, most), in order; chunks of `chunk` bytes have their own pair.
 
-    A text fails if its own ratio is outside its band, or if more than `bad_share` of its whole chunks are outside theirs.
+    A text fails if its own ratio is outside its band, or if more than `bad_share` of its chunks are outside theirs.
     Set by hand, wide of the ratios of ordinary prose in several languages (1.3 to 1.7 at 300 bytes, 2.2 to 2.6 at
     20 kB), and above those of encoded random bytes (1.33 from 3 kB on).
     """
@@ -68,18 +69,19 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def compression(data: bytes, compressor, bands: Bands) -> tuple[float, int, int, bool]:
-    """(ratio, chunks outside the limits, whole chunks, within the bands)"""
+    """(ratio, chunks outside the limits, chunks, within the bands); a text shorter than a chunk has none"""
     if not data:
         return 0.0, 0, 0, True
     ratio = len(data) / len(compressor.compress(data))
     least, most = bands.band(len(data))
-    chunks = len(data) // bands.chunk
+    starts = list(range(0, len(data) - bands.chunk + 1, bands.chunk))
+    if starts and len(data) % bands.chunk:
+        starts.append(len(data) - bands.chunk)
     bad = 0
-    if chunks > 1:
-        for i in range(chunks):
-            r = bands.chunk / len(compressor.compress(data[i * bands.chunk : (i + 1) * bands.chunk]))
-            bad += not bands.chunk_limits[0] <= r <= bands.chunk_limits[1]
-    return ratio, bad, chunks, least <= ratio <= most and bad <= bands.bad_share * max(chunks, 1)
+    for i in starts:
+        r = bands.chunk / len(compressor.compress(data[i : i + bands.chunk]))
+        bad += not bands.chunk_limits[0] <= r <= bands.chunk_limits[1]
+    return ratio, bad, len(starts), least <= ratio <= most and bad <= bands.bad_share * len(starts)
 
 
 def measure(data: bytes, compressor, bands: Bands = BANDS) -> dict:

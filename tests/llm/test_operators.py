@@ -176,6 +176,20 @@ def test_op5_quality(real, odd):
     assert not quality.compression(b"again and again " * 600, z, quality.BANDS)[3]
     assert quality.compression(prose(400, 3).encode(), z, quality.BANDS)[3]
 
+
+def test_op5_chunks_of_all_sizes():
+    import base64
+    import random
+
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=3)
+    good, junk = prose(4000, 5).encode(), base64.b64encode(random.Random(6).randbytes(9000))
+    assert quality.compression(good[:8192], z, quality.BANDS)[3]
+    for text in (good[:4050] + junk[:4050], good[:8192] + junk[:4095], junk[:4095] + good[:4096]):
+        assert not quality.compression(text, z, quality.BANDS)[3]
+
+
 def test_op6_pii(odd, spark):
     text = "mail me: a.b@x.org, card 4111 1111 1111 1111, host 10.0.0.300 10.0.0.30, call +1 (521) 555-6210. IBAN GB82 WEST 1234 5698 7654 32 x@y @z.com 1.2.3.4.5.6.7.8"
     spans = pii.find(text)
@@ -202,6 +216,7 @@ def test_op7_mixing(real, odd):
         done[s] += 1
         assert all(abs(done[x] - (slot + 1) * w / 10) < 1 for x, w in weights.items())
 
+
 def test_op8_decontamination(real, odd, spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     extra = spark.createDataFrame([(1000, "one TWO"), (1001, ""), (None, "alpha1"), (1002, prose(120, 1)[20:300])], "item_id long, text string")
