@@ -5,8 +5,9 @@ block may not be released before slot floor(j / w) and is due by slot ceil((j +
 block with the earliest deadline runs. While no source has run out, every source is then within one block of its share
 at every slot.
 
-Weights are whole numbers that sum to `period`, so the schedule repeats after `period` slots. Only one period is
-worked out, on the driver, and it has `period` rows whatever the data; a block's slot follows from its number alone.
+Weights are taken exactly as they are (a float is a fraction), over all blocks of the input, so nothing is rounded that
+could add up. The driver works the schedule out once, a step a block, and hands it over in pieces of `period` blocks of
+a source.
 Documents keep to the DataFrame functions: a rank within a source is a row number within a small bucket of hashes plus
 the counts of the buckets before it, so that one source with a third of all rows is ranked by many tasks.
 """
@@ -15,43 +16,67 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_ROWS = 4_000
+BROADCAST_BLOCKS = 4_000_000  # a longer schedule is joined by a shuffle
 NULL = "\ue000null"  # stands for a null source in joins
 
 
-def whole_weights(shares: dict[str, float], period: int) -> dict[str, int]:
-    """Whole weights, 1 at least, that sum to period; largest remainders get what is left."""
-    total = sum(shares.values())
-    if len(shares) > period:
-        raise ValueError(f"{len(shares)} sources need a period of as many slots at least; it is {period}")
-    spare = period - len(shares)
-    exact = {s: spare * x / total for s, x in shares.items()}
-    out = {s: 1 + math.floor(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def schedule(weights: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, release, deadline, slot) of one period: earliest deadline first among the released."""
-    period = sum(weights.values())
-    waiting = [(0, s, 0) for s in sorted(weights)]
+def whole_weights(shares: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the shares."""
+    if any(not (x > 0 and math.isfinite(x)) for x in shares.values()):
+        raise ValueError("weights must be above 0 and finite")
+    exact = {s: Fraction(x) for s, x in shares.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    out = {s: int(x * scale) for s, x in exact.items()}
+    most = math.gcd(*out.values())
+    return {s: x // most for s, x in out.items()}
+
+
+def schedule(weights: dict[str, int], blocks: dict[str, int] | None = None) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) by slot: earliest deadline first among the released. Without numbers of blocks, one period."""
+    total = sum(weights.values())
+    blocks = weights if blocks is None else blocks
+    waiting = [(0, s, 0) for s in sorted(weights) if blocks[s]]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int, int]] = []
-    out = []
-    for slot in range(period):
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             release, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // weights[s]), s, j, release))
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[s]), s, j, release))
         due, s, j, release = heapq.heappop(ready)
-        out.append((s, j, release, due, slot))
-        if j + 1 < weights[s]:
-            heapq.heappush(waiting, ((j + 1) * period // weights[s], s, j + 1))
-    return out
+        yield s, j, release, due, slot
+        if j + 1 < blocks[s]:
+            heapq.heappush(waiting, ((j + 1) * total // weights[s], s, j + 1))
+        slot += 1
+
+
+def plan(weights: dict[str, int], blocks: dict[str, int], piece: int) -> tuple[pa.Table, int]:
+    """The schedule in rows of `piece` blocks of a source, and the first slot that finds its source empty."""
+    times = {s: (array("q"), array("q"), array("q")) for s in weights}
+    end = None
+    # a block more than there are: the one that would come next
+    for s, j, release, due, slot in schedule(weights, {s: n + 1 for s, n in blocks.items()}):
+        if j == blocks[s]:
+            end = slot if end is None else end
+            continue
+        for to, x in zip(times[s], (release, due, slot)):
+            to.append(x)
+    at = [(s, k) for s in sorted(times) for k in range(-(-blocks[s] // piece))]
+    columns = {"p_source": pa.array([s for s, _ in at], pa.string()), "p_piece": pa.array([k for _, k in at], pa.int64())}
+    for i, name in enumerate(("p_release", "p_deadline", "p_slot")):
+        columns[name] = pa.array([times[s][i][k * piece : (k + 1) * piece] for s, k in at], pa.list_(pa.int64()))
+    return pa.table(columns), end or 0
 
 
 def ranked(docs: DataFrame, source: Column, tie: list[Column], rows: int) -> DataFrame:
@@ -75,10 +100,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, smoothing: flo
 
     mix_slot orders the blocks of all sources, mix_position the documents in a block. Without target weights, a source's
     weight is its number of rows to the power `smoothing`. Sources missing from given weights get the smallest weight.
-    Every row is scheduled; slots of a source that has run out stay empty, and mix_on_target says whether the slot comes
-    before the first such one. A null source is a source of its own (mix_source is null); null ids, null texts and
+    Every row is scheduled, between its release and its deadline also when others have run out; a slot stays empty if no
+    block is released. mix_on_target says whether the slot comes before the first one that finds its source empty. A null source is a source of its own (mix_source is null); null ids, null texts and
     repeated rows are scheduled like others; an empty table gives an empty table. Columns of docs whose names clash with
-    the new ones are replaced. More sources than `period` raise ValueError.
+    the new ones are replaced. More sources than `period` raise ValueError, as do
+    weights that aren't above 0.
     """
     new = ("mix_source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position", "mix_on_target", "mix_rank")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in new or c.startswith("_")])
@@ -92,29 +118,28 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, smoothing: flo
         shares = {name[s]: float(n) ** smoothing for s, n in sizes.items()}
     else:
         shares = {name[s]: float(weights.get(s, min(weights.values(), default=1.0))) for s in sizes}
-    whole = whole_weights(shares, period) if shares else {}
-    plan = schedule(whole) if whole else []
-    # the first slot that finds its source empty
-    last = min(((n_blocks // whole[name[s]]) * period + next(x[4] for x in plan if x[0] == name[s] and x[1] == n_blocks % whole[name[s]]) for s, n in sizes.items() for n_blocks in (-(-n // block),)), default=0)
-    slots = spark.createDataFrame(plan, "p_source string, p_block int, p_release int, p_deadline int, p_slot int")
-    weight = spark.createDataFrame(sorted(whole.items()), "w_source string, w_weight int")
+    if len(shares) > period:
+        raise ValueError(f"more than {period} sources")
+    blocks = {name[s]: -(-n // block) for s, n in sizes.items()}
+    table, last = plan(whole_weights(shares), blocks, period) if shares else plan({}, {}, period)
+    slots = spark.createDataFrame(table, "p_source string, p_piece long, p_release array<long>, p_deadline array<long>, p_slot array<long>")
+    if sum(blocks.values()) <= BROADCAST_BLOCKS:
+        slots = F.broadcast(slots)
     rank = ranked(docs, F.coalesce(source, F.lit(NULL)), [F.col(id_col), F.col(text_col)], sum(sizes.values()))
-    rounds, place = F.floor(F.col("mix_block") / F.col("w_weight")).cast("long"), F.col("mix_block") % F.col("w_weight")
     out = (
         rank.withColumn("mix_block", F.floor(F.col("mix_rank") / block).cast("long"))
-        .join(F.broadcast(weight), F.col("_source") == F.col("w_source"))
-        .withColumn("_round", rounds)
-        .withColumn("_place", place)
-        .join(F.broadcast(slots), (F.col("_source") == F.col("p_source")) & (F.col("_place") == F.col("p_block")))
+        .withColumn("_piece", F.floor(F.col("mix_block") / period).cast("long"))
+        .withColumn("_place", (F.col("mix_block") % period).cast("int"))
+        .join(slots, (F.col("_source") == F.col("p_source")) & (F.col("_piece") == F.col("p_piece")))
     )
-    at = F.col("_round") * period
+    slot = F.get("p_slot", F.col("_place"))
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.when(F.col("_source") != NULL, F.col("_source")).alias("mix_source"),
         "mix_block",
-        (at + F.col("p_release")).alias("mix_release"),
-        (at + F.col("p_deadline")).alias("mix_deadline"),
-        (at + F.col("p_slot")).alias("mix_slot"),
+        F.get("p_release", F.col("_place")).alias("mix_release"),
+        F.get("p_deadline", F.col("_place")).alias("mix_deadline"),
+        slot.alias("mix_slot"),
         (F.col("mix_rank") % block).cast("int").alias("mix_position"),
-        (at + F.col("p_slot") < last).alias("mix_on_target"),
+        (slot < last).alias("mix_on_target"),
     )

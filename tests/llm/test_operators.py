@@ -1,6 +1,7 @@
 """Operators against brute force, and on odd inputs: nulls, empty and long texts, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -217,6 +218,19 @@ def test_op7_mixing(real, odd):
         assert all(abs(done[x] - (slot + 1) * w / 10) < 1 for x, w in weights.items())
 
 
+def test_op7_deviation_does_not_grow(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"), F.lit("t").alias("text"))
+    rows = sorted(mixing.mix(docs, block=1).select("mix_slot", "mix_source", "mix_on_target").collect())
+    assert sum(r.mix_on_target for r in rows) > 19_000
+    roots = {s: math.sqrt(n) for s, n in (("0", 6667), ("1", 6667), ("2", 6666))}
+    target = {s: x / sum(roots.values()) for s, x in roots.items()}
+    done = Counter()
+    for r in rows:
+        done[r.mix_source] += 1
+        if r.mix_on_target:
+            assert all(abs(done[s] - (r.mix_slot + 1) * w) < 1 for s, w in target.items())
+
+
 def test_op8_decontamination(real, odd, spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     extra = spark.createDataFrame([(1000, "one TWO"), (1001, ""), (None, "alpha1"), (1002, prose(120, 1)[20:300])], "item_id long, text string")
