@@ -8,6 +8,7 @@ anti-joins with the nodes that fail them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -520,12 +521,20 @@ def validate(graph: Graph, shapes: Shapes, max_results: int | None = None, disal
     and what lies past the last of them is cut off.
     """
     v = Validator(graph, shapes)
+
+    def frames() -> Iterator[tuple[Shape, Frame]]:
+        for shape in shapes.roots:
+            if (frame := v.target(shape)) is not None:
+                yield shape, frame
+        if sh("shape") in graph.predicates():
+            named = graph.rel(sh("shape"))
+            for (name,) in sorted(named.select("o.k").distinct().limit(10_000).collect()):  # shapes, not nodes
+                if shape := shapes.get(name):
+                    yield shape, Frame(named.where(F.col("o.k") == name).select(F.col("s").alias("rid"), node_term(F.col("s")).alias("f"), F.lit(1).cast("long").alias("m")))
+
     parts_: list[DataFrame] = []
     blocking = 0
-    for shape in shapes.roots:
-        frame = v.target(shape)
-        if frame is None:
-            continue
+    for shape, frame in frames():
         found = v.evaluate(shape, frame, {}, 0, root=True)
         if not found:
             continue
@@ -541,14 +550,6 @@ def validate(graph: Graph, shapes: Shapes, max_results: int | None = None, disal
                 break
         else:
             parts_.append(df)
-    if max_results is None and sh("shape") in graph.predicates():
-        named = graph.rel(sh("shape"))
-        for (name,) in named.select("o.k").distinct().limit(10_000).collect():  # shapes, not nodes
-            shape = shapes.get(name)
-            if shape:
-                nodes = named.where(F.col("o.k") == name).select(F.col("s").alias("rid"), node_term(F.col("s")).alias("f"), F.lit(1).cast("long").alias("m"))
-                found = v.evaluate(shape, Frame(nodes), {}, 0, root=True)
-                parts_ += [expand(found, v)] if found else []
     return union(parts_) if parts_ else v.none().select(*COLUMNS)
 
 

@@ -41,3 +41,12 @@ def test_regex_translation():
         java_regex("(?=a)", "")
     with pytest.raises(ShapeError):
         java_regex("a", "z")
+
+
+NAMED = PRE + ":S a sh:NodeShape ; sh:property [ sh:path :age ; sh:maxInclusive 150 ] ."
+
+
+def test_shapes_named_by_data_count_under_max_results(spark):
+    s = Shapes.from_turtle(spark, NAMED + " :T a sh:NodeShape ; sh:targetClass :P ; sh:property [ sh:path :age ; sh:minCount 1 ] .")
+    r = s.validate_turtle(PRE + ":a sh:shape :S ; :age 200 . :c sh:shape :S ; :age 300 . :b a :P ; :age 7 .", max_results=1)
+    assert not r.conforms and len(r) == 1
