@@ -49,6 +49,11 @@ class Validator:
         self.below: dict[str, list[str]] = {}
         self.instances_: dict[tuple[str, ...], DataFrame] = {}
 
+    def known(self, names: DataFrame) -> list[str]:
+        """The shapes among names (one column) that the data give; of these names only shapes reach the driver."""
+        own = self.spark.createDataFrame([(s.node,) for s in self.shapes], "own string")
+        return sorted(r[0] for r in names.join(F.broadcast(own), names[0] == F.col("own"), "left_semi").distinct().collect())
+
     # -- classes and targets
 
     def subclasses(self, c: str) -> DataFrame:
@@ -380,10 +385,9 @@ class Validator:
 
             named = cut(Expressions(self).sequence(x, v.select(F.col("v.k").alias("rid"), F.col("v").alias("f")).distinct()).select("rid", F.col("o.k").alias("shape")).distinct())
             out = []
-            for (name,) in named.select("shape").distinct().limit(10_000).collect():  # shapes, not nodes
-                if self.shapes.get(name):
-                    some = v.join(named.where(F.col("shape") == name).select(F.col("rid").alias("r2")), F.col("v.k") == F.col("r2"), "left_semi")
-                    out.append(R(self.logical("node", name, some, seen, depth), shape, c, F.col("v.k")))
+            for name in self.known(named.select("shape")):
+                some = v.join(named.where(F.col("shape") == name).select(F.col("rid").alias("r2")), F.col("v.k") == F.col("r2"), "left_semi")
+                out.append(R(self.logical("node", name, some, seen, depth), shape, c, F.col("v.k")))
             return out
         raise ShapeError(f"unknown constraint {kind}")
 
@@ -528,9 +532,8 @@ def validate(graph: Graph, shapes: Shapes, max_results: int | None = None, disal
                 yield shape, frame
         if sh("shape") in graph.predicates():
             named = graph.rel(sh("shape"))
-            for (name,) in sorted(named.select("o.k").distinct().limit(10_000).collect()):  # shapes, not nodes
-                if shape := shapes.get(name):
-                    yield shape, Frame(named.where(F.col("o.k") == name).select(F.col("s").alias("rid"), node_term(F.col("s")).alias("f"), F.lit(1).cast("long").alias("m")))
+            for name in v.known(named.select("o.k")):
+                yield shapes.get(name), Frame(named.where(F.col("o.k") == name).select(F.col("s").alias("rid"), node_term(F.col("s")).alias("f"), F.lit(1).cast("long").alias("m")))
 
     parts_: list[DataFrame] = []
     blocking = 0

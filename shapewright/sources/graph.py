@@ -210,7 +210,7 @@ class TripleGraph(Graph):
 
     def predicates(self) -> list[str]:
         if self._names is None:
-            self._names = sorted(r[0] for r in self.df.select("p").distinct().limit(100_000).collect())
+            self._names = sorted(r[0] for r in self.df.select("p").distinct().collect())
         return self._names
 
     def rel(self, p: str) -> DataFrame:

@@ -1,7 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from shapewright.api import Shapes, rdfs_closure, validate
+from shapewright.functions.xsd import term_of_key
 from shapewright.plans.ir import ShapeError, java_regex
+from shapewright.sources.graph import TripleGraph
 
 PRE = "@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix : <http://e/> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n"
 
@@ -50,3 +53,18 @@ def test_shapes_named_by_data_count_under_max_results(spark):
     s = Shapes.from_turtle(spark, NAMED + " :T a sh:NodeShape ; sh:targetClass :P ; sh:property [ sh:path :age ; sh:minCount 1 ] .")
     r = s.validate_turtle(PRE + ":a sh:shape :S ; :age 200 . :c sh:shape :S ; :age 300 . :b a :P ; :age 7 .", max_results=1)
     assert not r.conforms and len(r) == 1
+
+
+def test_many_names_in_data(spark):
+    s = Shapes.from_turtle(spark, PRE + "".join(f":S{i} a sh:NodeShape ; sh:property [ sh:path :age ; sh:maxInclusive 150 ] ." for i in range(12)))
+    data = TripleGraph(
+        spark.range(30_000).select(F.concat(F.lit("<http://e/n"), "id", F.lit(">")).alias("s"), F.lit(f"<{PRE.split('<')[1].split('>')[0]}shape>").alias("p"), F.concat(F.lit("<http://e/S"), F.when(F.col("id") % 2500 == 0, F.col("id") / 2500).otherwise(F.col("id") + 100).cast("long"), F.lit(">")).alias("k"))
+        .union(spark.range(30_000).select(F.concat(F.lit("<http://e/n"), "id", F.lit(">")), F.lit("<http://e/age>"), F.lit('"200"^^<http://www.w3.org/2001/XMLSchema#integer>')))
+        .select("s", "p", term_of_key(F.col("k")).alias("o"))
+    )
+    assert sorted(r.focus_node for r in s.validate(data).results) == sorted(f"<http://e/n{2500 * i}>" for i in range(12))
+
+
+def test_all_predicates(spark):
+    g = TripleGraph(spark.range(100_001).select(F.lit("<http://e/s>").alias("s"), F.concat(F.lit("<http://e/p"), "id", F.lit(">")).alias("p"), term_of_key(F.lit("<http://e/o>")).alias("o")))
+    assert len(g.predicates()) == 100_001
