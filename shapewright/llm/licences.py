@@ -5,14 +5,20 @@ A multinomial logistic regression on sparse word 1- to 3-grams assigns a paragra
 with a fixed seed, so it needs no labelled rows. A softmax temperature and the least probability for a family are
 calibrated on variations held out from training. A family counts only if the paragraph also holds enough of one of the
 family's templates.
+
+Paragraphs are the lines of a text, and windows of two lengths that slide over the words of the whole text across line
+ends, so that hard-wrapped notices are found as well. Each has all families confirmed that it may hold; where two claim
+the same stretch of words, the better match has it.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -112,8 +118,20 @@ FILLER = "the of and to a in is that it was for on with as be by at this had not
 WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
 # A paragraph without any of these isn't licence talk; each template has one, and a confirmed family needs one.
 ANCHORS = ("licen", "copyright", "public domain", "permi", "redistribut", "rights reserved", "general public", "creative commons", "proprietary", "cc by", "cc0", "spdx", "neighboring", "confidential", "waived")
-ANCHOR = re.compile("|".join(map(re.escape, ANCHORS)))
+# the words of an anchor may stand on two lines, also of a comment
+ANCHOR = re.compile("|".join("[^a-z0-9]+".join(map(re.escape, a.split())) for a in ANCHORS))
+WORD_ANCHOR = re.compile("|".join(re.escape(" ".join(WORD.findall(a))) for a in ANCHORS))
 CONFIRM = 0.7
+LONGEST = 400  # words of a line that is taken as one paragraph
+WINDOWS = ((24, 8), (80, 20))  # words and step; the longest template and some more fit the larger
+
+
+def anchors_before(words: list[str]) -> list[int]:
+    """How many words from which an anchor starts come before each word, and in all; the last number is for the end."""
+    text = " ".join(words)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    hit = {bisect_right(ends, m.start()) for m in WORD_ANCHOR.finditer(text)}
+    return [0, *accumulate(int(i in hit) for i in range(len(words)))]
 
 
 def grams(words: list[str]) -> set[str]:
@@ -140,6 +158,8 @@ class Scanner:
     temperature: float
     least: float
     templates: dict[str, list[tuple[frozenset, frozenset]]] = field(default_factory=dict)
+    lengths: dict[str, list[int]] = field(default_factory=dict)
+    telling: dict[str, list[frozenset]] = field(default_factory=dict)  # words of a template that no other family has
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         at = [i for g in grams(words) if (i := self.number.get(g)) is not None]
@@ -147,35 +167,100 @@ class Scanner:
         e = np.exp(z - z.max())
         return e / e.sum()
 
-    def match(self, family: str, words: list[str]) -> float:
-        """The share of a template's words and pairs that the paragraph has; the best of the family."""
+    def matches(self, words: list[str]) -> list[tuple[str, float, int]]:
+        """(family, the share of a template's words and pairs that the paragraph has, number of the template) where it is enough.
+
+        Of the words that no other family has (as "affero"), half must be there.
+        """
         own, pairs = set(words), set(zip(words, words[1:]))
-        return max((len(w & own) + len(p & pairs)) / (len(w) + len(p)) for w, p in self.templates[family])
+        out = []
+        for family, templates in self.templates.items():
+            for k, (w, p) in enumerate(templates):
+                n, found = len(w) + len(p), len(w & own)
+                if found + len(p) >= CONFIRM * n and (m := (found + len(p & pairs)) / n) >= CONFIRM and 2 * len((t := self.telling[family][k]) & own) >= len(t):
+                    out.append((family, m, k))
+        return out
 
-    def scan(self, paragraph: str) -> tuple[str, float, float] | None:
-        """(family or unknown, probability, template match), or None if it's no licence talk."""
-        low = paragraph.lower()
-        if not ANCHOR.search(low):
-            return None
-        words = WORD.findall(low)
-        if len(words) > 400:  # a long paragraph is taken in overlapping windows
-            found = [x for i in range(0, len(words) - 100, 100) if (x := self.classify(words[i : i + 200])) is not None]
-            known = [x for x in found if x[0] != "unknown"]
-            return max(known or found, key=lambda x: (x[1], x[2], x[0]), default=None)
-        return self.classify(words)
-
-    def classify(self, words: list[str]) -> tuple[str, float, float] | None:
+    def stretch(self, family: str, k: int, words: list[str]) -> tuple[int, int]:
+        """Where a template lies in a paragraph: the run of about its length that has most of it, and in that the part with more pairs of the template than others."""
+        w, p = self.templates[family][k]
+        n = self.lengths[family][k]
+        n += 2 + n // 8
+        best = (0, 0)
+        for i in (x for x in range(len(words)) if words[x] in w):
+            part = words[i : i + n]
+            best = max(best, (len(w.intersection(part)) + len(p.intersection(zip(part, part[1:]))), -i))
+        first = -best[1]
+        top, start, total, out = 0, first, 0, (first, min(first + n, len(words)))
+        for x in range(first, min(first + n, len(words)) - 1):
+            total += 1 if (words[x], words[x + 1]) in p else -1
+            if total > top:
+                top, out = total, (start, x + 2)
+            if total <= 0:
+                total, start = 0, x + 1
+        return out
+
+    def classify(self, words: list[str], matches: list[tuple[str, float, int]]) -> tuple[list[tuple[str, float, float, int, int]], float | None]:
+        """((family, probability, template match, from word, to word) of each confirmed family, the probability of licence talk if there is none)
+
+        Other families in the paragraph take their share of its probability; the stretch that matches may have its own.
+        """
         p = self.probabilities(words)
-        # without the class of prose: how the families compare
-        order = sorted(range(len(p)), key=lambda i: (-p[i], i))
-        for i in order[:3]:
-            family = self.classes[i]
-            if family in self.templates and (m := self.match(family, words)) >= CONFIRM and (p[i] >= self.least or m >= 0.95):
-                return family, float(p[i]), m
-        best = self.classes[order[0]]
-        if best == "none":
-            return None
-        return "unknown", float(p[order[0]]), 0.0
+        found = []
+        for family, m, k in matches:
+            i, j = self.stretch(family, k, words)
+            at, own = self.classes.index(family), self.probabilities(words[i:j])
+            x = max(p[at], own[at])
+            # a template that isn't there in full has to be the likeliest family of its stretch
+            if m >= 0.95 or (x >= self.least and at == int(own[: len(self.templates)].argmax())):
+                found.append((family, float(x), m, i, j))
+        best = int(p.argmax())
+        return found, None if found or self.classes[best] == "none" else float(p[best])
+
+    def notices(self, text: str) -> list[tuple[str, float, float]]:
+        """(family or unknown, probability, template match) of each stretch of licence talk; a line counts once for each of its families."""
+        low = text.lower()
+        if not ANCHOR.search(low):
+            return []
+        found: list[tuple[str, float, float, int, int]] = []
+        unknown: dict[int, float] = {}
+        words: list[str] = []
+        line_of: list[int] = []
+        for number, line in enumerate(low.split("\n")):
+            own, start = WORD.findall(line), len(words)
+            words += own
+            line_of += [number] * len(own)
+            if not own or not ANCHOR.search(line):
+                continue
+            for i in range(0, len(own) - 100, 100) if len(own) > LONGEST else (0,):
+                part = own[i : i + 200] if len(own) > LONGEST else own
+                more, p = self.classify(part, self.matches(part))
+                found += [(f, x, m, start + i + a, start + i + b) for f, x, m, a, b in more]
+                if p is not None:
+                    unknown[number] = max(p, unknown.get(number, 0.0))
+        near = anchors_before(words)
+        for size, step in WINDOWS:
+            for i in range(0, max(1, len(words) - size + step), step):
+                part = words[i : i + size]
+                if near[i + len(part)] > near[i] and (matches := self.matches(part)):
+                    found += [(f, x, m, i + a, i + b) for f, x, m, a, b in self.classify(part, matches)[0]]
+        return self.chosen(found, unknown, line_of)
+
+    def chosen(self, found: list[tuple[str, float, float, int, int]], unknown: dict[int, float], line_of: list[int]) -> list[tuple[str, float, float]]:
+        """Of families that claim the same words the better, and a family once a line; unknown talk only on other lines."""
+        kept: list[tuple[str, float, float, int, int]] = []
+        for x in sorted(set(found), key=lambda x: (-round(x[2], 2), -x[1], x)):
+            family, _, _, i, j = x
+            same = any(f == family and line_of[a] <= line_of[j - 1] and line_of[i] <= line_of[b - 1] for f, _, _, a, b in kept)
+            if not same and not any(2 * (min(j, b) - max(i, a)) > min(j - i, b - a) for _, _, _, a, b in kept):
+                kept.append(x)
+        lines = {n for _, _, _, i, j in found for n in line_of[i:j]}
+        return [x[:3] for x in sorted(kept, key=lambda x: x[3:])] + [("unknown", p, 0.0) for n, p in sorted(unknown.items()) if n not in lines]
+
+    def scan(self, paragraph: str) -> tuple[str, float, float] | None:
+        """The best of notices(); None if it's no licence talk."""
+        found = self.notices(paragraph)
+        return max([x for x in found if x[0] != "unknown"] or found, key=lambda x: (x[1], x[2], x[0]), default=None)
 
 
 @lru_cache(maxsize=1)
@@ -245,13 +330,15 @@ def train(seed: int = 11, each: int = 60, steps: int = 200) -> Scanner:
     outside = np.sort(p[ty >= len(TEMPLATES)][:, : len(TEMPLATES)].max(1))
     least = float(min(0.9, max(0.3, outside[int(0.99 * (len(outside) - 1))])))
     templates = {f: [(frozenset(x), frozenset(zip(x, x[1:]))) for t in ts_ for x in [WORD.findall(t.lower())]] for f, ts_ in TEMPLATES.items()}
-    return Scanner(classes, number, w.astype(np.float64), b, temperature, least, templates)
+    telling = {f: [w.difference(*(v for g, x in templates.items() if g != f for v, _ in x)) for w, _ in ts_] for f, ts_ in templates.items()}
+    lengths = {f: [len(WORD.findall(t.lower())) for t in ts_] for f, ts_ in TEMPLATES.items()}
+    return Scanner(classes, number, w.astype(np.float64), b, temperature, least, templates, lengths, telling)
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, families (sorted, comma-joined), n_paragraphs (with licence talk), family, probability, template_match.
+    """One row for each row of docs: id, families (sorted, comma-joined), n_paragraphs (stretches of licence talk), family, probability, template_match.
 
-    family is that of the most probable confirmed paragraph, "unknown" if there is licence talk but none is confirmed,
+    A line counts once for each family in it, a notice over several lines once. family is that of the most probable one, "unknown" if there is licence talk but none is confirmed,
     and null without any. Null and empty texts have none. Repeated rows and null ids stay as they are; an empty table
     gives an empty table; other columns are ignored.
     """
@@ -259,15 +346,10 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     model = docs.sparkSession.sparkContext.broadcast(train())
 
     def fn():
-        scan = model.value.scan
+        notices = model.value.notices
 
         def work(batch):
-            found = []
-            for text in text_str(batch, text_col):
-                own = []
-                if ANCHOR.search(text.lower()):
-                    own = [x for p in text.split("\n") if p and (x := scan(p)) is not None]
-                found.append(own)
+            found = [notices(text) for text in text_str(batch, text_col)]
             known = [[x for x in f if x[0] != "unknown"] for f in found]
             best = [max(k or f, key=lambda x: (x[1], x[0]), default=(None, None, None)) for k, f in zip(known, found)]
             return {

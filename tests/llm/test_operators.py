@@ -293,6 +293,15 @@ def test_op1_licences(odd, real):
     assert licences.scan_licences(odd).count() == odd.count()
 
 
+def test_op1_wrapped_notices(spark):
+    import textwrap
+
+    texts = [(f, "\n".join(sign + x for x in textwrap.wrap(t, 76))) for f, ts in licences.TEMPLATES.items() for t in ts for sign in ("", " * ")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.families, r.n_paragraphs) for r in licences.scan_licences(docs).collect()}
+    assert got == {i: (f, 1) for i, (f, _) in enumerate(texts)}
+
+
 def test_empty_tables(spark, real):
     none = real.limit(0)
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
