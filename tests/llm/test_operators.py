@@ -302,6 +302,13 @@ def test_op1_wrapped_notices(spark):
     assert got == {i: (f, 1) for i, (f, _) in enumerate(texts)}
 
 
+def test_op1_several_families_in_a_line(spark):
+    pairs = [(a, b, sep) for a in licences.TEMPLATES for b in licences.TEMPLATES if a < b for sep in (" ", " " + prose(30, 7) + " ", " " + prose(500, 8) + " ")]
+    docs = spark.createDataFrame([(i, licences.TEMPLATES[a][1] + sep + licences.TEMPLATES[b][1]) for i, (a, b, sep) in enumerate(pairs)], "doc_id long, text string")
+    got = {r.doc_id: (r.families, r.n_paragraphs) for r in licences.scan_licences(docs).collect()}
+    assert got == {i: (f"{a},{b}", 2) for i, (a, b, _) in enumerate(pairs)}
+
+
 def test_empty_tables(spark, real):
     none = real.limit(0)
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
