@@ -142,5 +142,11 @@ def text_size(df: DataFrame, name: str = "text") -> tuple[int, int]:
     return r[0], r[1]
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes to differ from all columns."""
+    taken = {c.lower() for c in columns}
+    return [next(n + "_" * i for i in range(len(columns) + 1) if (n + "_" * i).lower() not in taken) for n in names]
+
+
 def hex_sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()

@@ -6,10 +6,11 @@ block with the earliest deadline runs. While no source has run out, every source
 at every slot.
 
 Weights are taken exactly as they are (a float is a fraction), over all blocks of the input, so nothing is rounded that
-could add up. The driver works the schedule out once, a step a block, and hands it over in pieces of `period` blocks of
-a source.
-Documents keep to the DataFrame functions: a rank within a source is a row number within a small bucket of hashes plus
-the counts of the buckets before it, so that one source with a third of all rows is ranked by many tasks.
+could add up. The driver works the schedule out once, a step a block. Blocks have `LEAST_BLOCK` documents, or as many as
+make `MOST_BLOCKS` blocks at most, so the schedule is bounded at every size: it is handed to all tasks, in pieces of
+`period` blocks of a source. Documents keep to the DataFrame functions: a rank within a source is a row number within a
+small bucket of hashes plus the counts of the buckets before it, so that one source with a third of all rows is ranked
+by many tasks.
 """
 
 from __future__ import annotations
@@ -21,15 +22,18 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 BUCKET_ROWS = 4_000
-BROADCAST_BLOCKS = 4_000_000  # a longer schedule is joined by a shuffle
-NULL = "\ue000null"  # stands for a null source in joins
+LEAST_BLOCK = 16
+MOST_BLOCKS = 2_000_000
+Source = str | None
 
 
-def whole_weights(shares: dict[str, float]) -> dict[str, int]:
+def whole_weights(shares: dict[Source, float]) -> dict[Source, int]:
     """Whole numbers in exactly the proportions of the shares."""
     if any(not (x > 0 and math.isfinite(x)) for x in shares.values()):
         raise ValueError("weights must be above 0 and finite")
@@ -40,29 +44,30 @@ def whole_weights(shares: dict[str, float]) -> dict[str, int]:
     return {s: x // most for s, x in out.items()}
 
 
-def schedule(weights: dict[str, int], blocks: dict[str, int] | None = None) -> Iterator[tuple[str, int, int, int, int]]:
+def schedule(weights: dict[Source, int], blocks: dict[Source, int] | None = None) -> Iterator[tuple[Source, int, int, int, int]]:
     """(source, block, release, deadline, slot) by slot: earliest deadline first among the released. Without numbers of blocks, one period."""
     total = sum(weights.values())
     blocks = weights if blocks is None else blocks
-    waiting = [(0, s, 0) for s in sorted(weights) if blocks[s]]
+    names = sorted(weights, key=lambda s: (s is None, s or ""))
+    waiting = [(0, i, 0) for i, s in enumerate(names) if blocks[s]]
     heapq.heapify(waiting)
-    ready: list[tuple[int, str, int, int]] = []
+    ready: list[tuple[int, int, int, int]] = []
     slot = 0
     while waiting or ready:
         if not ready:
             slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            release, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * total // weights[s]), s, j, release))
-        due, s, j, release = heapq.heappop(ready)
-        yield s, j, release, due, slot
-        if j + 1 < blocks[s]:
-            heapq.heappush(waiting, ((j + 1) * total // weights[s], s, j + 1))
+            release, i, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[names[i]]), i, j, release))
+        due, i, j, release = heapq.heappop(ready)
+        yield names[i], j, release, due, slot
+        if j + 1 < blocks[names[i]]:
+            heapq.heappush(waiting, ((j + 1) * total // weights[names[i]], i, j + 1))
         slot += 1
 
 
-def plan(weights: dict[str, int], blocks: dict[str, int], piece: int) -> tuple[pa.Table, int]:
-    """The schedule in rows of `piece` blocks of a source, and the first slot that finds its source empty."""
+def plan(weights: dict[Source, int], blocks: dict[Source, int], piece: int, names: list[str]) -> tuple[pa.Table, int]:
+    """The schedule in rows of `piece` blocks of a source (columns: source, piece, releases, deadlines, slots), and the first slot that finds its source empty."""
     times = {s: (array("q"), array("q"), array("q")) for s in weights}
     end = None
     # a block more than there are: the one that would come next
@@ -72,74 +77,68 @@ def plan(weights: dict[str, int], blocks: dict[str, int], piece: int) -> tuple[p
             continue
         for to, x in zip(times[s], (release, due, slot)):
             to.append(x)
-    at = [(s, k) for s in sorted(times) for k in range(-(-blocks[s] // piece))]
-    columns = {"p_source": pa.array([s for s, _ in at], pa.string()), "p_piece": pa.array([k for _, k in at], pa.int64())}
-    for i, name in enumerate(("p_release", "p_deadline", "p_slot")):
-        columns[name] = pa.array([times[s][i][k * piece : (k + 1) * piece] for s, k in at], pa.list_(pa.int64()))
-    return pa.table(columns), end or 0
-
-
-def ranked(docs: DataFrame, source: Column, tie: list[Column], rows: int) -> DataFrame:
-    """docs with mix_rank: a shuffled number from 0 within the source."""
-    buckets = max(1, math.ceil(rows / BUCKET_ROWS))
-    d = docs.withColumn("_h", F.xxhash64(*tie)).withColumn("_source", source).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_h", 17), F.lit(buckets)))
-    counts = d.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    own = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_h", *tie)) - 1
-    before = before.select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce("_before", F.lit(0)).alias("_before"))
-    return (
-        d.withColumn("_own", own)
-        .join(before, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-        .withColumn("mix_rank", F.col("_own") + F.col("_before"))
-        .drop("_h", "_bucket", "_own", "_before", "_s", "_b")
-    )
+    at = [(s, k) for s in times for k in range(-(-blocks[s] // piece))]
+    columns = [pa.array([s for s, _ in at], pa.string()), pa.array([k for _, k in at], pa.int64())]
+    columns += [pa.array([times[s][i][k * piece : (k + 1) * piece] for s, k in at], pa.list_(pa.int64())) for i in range(3)]
+    return pa.table(columns, names), end or 0
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, smoothing: float = 0.5, block: int = 16, period: int = 4096, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[Source, float] | None = None, smoothing: float = 0.5, block: int | None = None, period: int = 4096, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with mix_source, mix_block, mix_release, mix_deadline, mix_slot, mix_position and mix_on_target, one row each.
 
     mix_slot orders the blocks of all sources, mix_position the documents in a block. Without target weights, a source's
-    weight is its number of rows to the power `smoothing`. Sources missing from given weights get the smallest weight.
-    Every row is scheduled, between its release and its deadline also when others have run out; a slot stays empty if no
-    block is released. mix_on_target says whether the slot comes before the first one that finds its source empty. A null source is a source of its own (mix_source is null); null ids, null texts and
-    repeated rows are scheduled like others; an empty table gives an empty table. Columns of docs whose names clash with
-    the new ones are replaced. More sources than `period` raise ValueError, as do
-    weights that aren't above 0.
+    weight is its number of rows to the power `smoothing`. Of given weights, 0 leaves a source out; sources without one
+    get the smallest above 0. Every other row is scheduled, between its release and its deadline also when others have
+    run out; a slot stays empty if no block is released, or if it would be that of a source's next block after its last.
+    mix_on_target says whether the slot comes before the first one
+    that finds its source empty. A null source is a source of its own (mix_source is null); null ids, null texts and
+    repeated rows are scheduled like others; equal hashes are ordered by id and text; an empty table gives an empty
+    table. Columns of docs whose names are those of the new ones are replaced, all others stay, whatever their names.
+    Weights below 0 or not finite raise ValueError, and so do more sources than MOST_BLOCKS.
     """
-    new = ("mix_source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position", "mix_on_target", "mix_rank")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in new or c.startswith("_")])
-    spark = docs.sparkSession
-    source = F.col(source_col).cast("string")
-    sizes = {r[0]: r[1] for r in docs.groupBy(source.alias("s")).agg(F.count(F.lit(1)).alias("n")).limit(period + 1).collect()}
-    name = {s: NULL if s is None else s for s in sizes}
-    if not sizes:
-        shares = {}
-    elif weights is None:
-        shares = {name[s]: float(n) ** smoothing for s, n in sizes.items()}
-    else:
-        shares = {name[s]: float(weights.get(s, min(weights.values(), default=1.0))) for s in sizes}
-    if len(shares) > period:
-        raise ValueError(f"more than {period} sources")
-    blocks = {name[s]: -(-n // block) for s, n in sizes.items()}
-    table, last = plan(whole_weights(shares), blocks, period) if shares else plan({}, {}, period)
-    slots = spark.createDataFrame(table, "p_source string, p_piece long, p_release array<long>, p_deadline array<long>, p_slot array<long>")
-    if sum(blocks.values()) <= BROADCAST_BLOCKS:
-        slots = F.broadcast(slots)
-    rank = ranked(docs, F.coalesce(source, F.lit(NULL)), [F.col(id_col), F.col(text_col)], sum(sizes.values()))
+    new = ("mix_source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position", "mix_on_target")
+    key, tie = F.col(f"`{source_col}`").cast("string"), [F.col(f"`{id_col}`"), F.col(f"`{text_col}`")]
+    spark, old = docs.sparkSession, docs.columns
+    sizes = {r[0]: r[1] for r in docs.groupBy(key.alias("s")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_BLOCKS + 1).collect()}
+    if len(sizes) > MOST_BLOCKS:
+        raise ValueError(f"more than {MOST_BLOCKS} sources")
+    if weights is not None:
+        if any(not (x >= 0 and math.isfinite(x)) for x in weights.values()):
+            raise ValueError("weights must be finite, and 0 at least")
+        without = [s for s in sizes if weights.get(s, 1) == 0]
+        for s in without:
+            docs = docs.where(~key.eqNullSafe(F.lit(s)))
+            del sizes[s]
+        least = min((x for x in weights.values() if x), default=1.0)
+    shares = {s: float(n) ** smoothing if weights is None else float(weights.get(s, least)) for s, n in sizes.items()}
+    rows = sum(sizes.values())
+    block = block or max(LEAST_BLOCK, -(-rows // MOST_BLOCKS))
+    blocks = {s: -(-n // block) for s, n in sizes.items()}
+    h, src, bucket, n, own, rank, s, b, before, piece, place = free_names([*old, *new], "h", "src", "bucket", "n", "own", "rank", "s", "b", "before", "piece", "place")
+    of, at, release, due, slot = free_names([*old, *new, src, s, piece], "of", "at", "release", "due", "slot")
+    table, last = plan(whole_weights(shares) if shares else {}, blocks, period, [of, at, release, due, slot])
+    slots = F.broadcast(spark.createDataFrame(table, f"{of} string, {at} long, {release} array<long>, {due} array<long>, {slot} array<long>"))
+    # ranks: a shuffled number from 0 within the source
+    d = docs.withColumns({h: F.xxhash64(*tie), src: key})
+    d = d.withColumn(bucket, F.pmod(F.shiftrightunsigned(h, 17), F.lit(max(1, math.ceil(rows / BUCKET_ROWS)))))
+    counts = d.groupBy(F.col(src).alias(s), F.col(bucket).alias(b)).agg(F.count(F.lit(1)).alias(n))
+    sums = counts.withColumn(before, F.coalesce(F.sum(n).over(Window.partitionBy(s).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop(n)
     out = (
-        rank.withColumn("mix_block", F.floor(F.col("mix_rank") / block).cast("long"))
-        .withColumn("_piece", F.floor(F.col("mix_block") / period).cast("long"))
-        .withColumn("_place", (F.col("mix_block") % period).cast("int"))
-        .join(slots, (F.col("_source") == F.col("p_source")) & (F.col("_piece") == F.col("p_piece")))
+        d.withColumn(own, F.row_number().over(Window.partitionBy(src, bucket).orderBy(h, *tie)) - 1)
+        .join(sums, F.col(src).eqNullSafe(F.col(s)) & (F.col(bucket) == F.col(b)))
+        .withColumn(rank, F.col(own) + F.col(before))
+        .withColumn(piece, F.floor(F.floor(F.col(rank) / block) / period).cast("long"))
+        .withColumn(place, (F.floor(F.col(rank) / block) % period).cast("int"))
+        .join(slots, F.col(src).eqNullSafe(F.col(of)) & (F.col(piece) == F.col(at)))
     )
-    slot = F.get("p_slot", F.col("_place"))
+    get = lambda c: F.get(F.col(c), F.col(place))
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col("_source") != NULL, F.col("_source")).alias("mix_source"),
-        "mix_block",
-        F.get("p_release", F.col("_place")).alias("mix_release"),
-        F.get("p_deadline", F.col("_place")).alias("mix_deadline"),
-        slot.alias("mix_slot"),
-        (F.col("mix_rank") % block).cast("int").alias("mix_position"),
-        (slot < last).alias("mix_on_target"),
+        *[F.col(f"`{c}`") for c in old if c.lower() not in new],
+        F.col(src).alias("mix_source"),
+        F.floor(F.col(rank) / block).cast("long").alias("mix_block"),
+        get(release).alias("mix_release"),
+        get(due).alias("mix_deadline"),
+        get(slot).alias("mix_slot"),
+        (F.col(rank) % block).cast("int").alias("mix_position"),
+        (get(slot) < last).alias("mix_on_target"),
     )

@@ -168,8 +168,14 @@ def find_pii(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
 
 
 def redacted(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """docs with the spans in text_col replaced; null stays null; all other columns as they are."""
+    """docs with the spans in text_col replaced; all other columns as they are, whatever their names, also if two share one.
+
+    Null stays null and an empty text empty; repeated rows and null ids stay; an empty table gives an empty table.
+    """
+    from pyspark.sql import types as T
+
     text = docs.columns.index(text_col)
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
 
     def run(batches):
         import pyarrow as pa
@@ -178,4 +184,4 @@ def redacted(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "tex
             new = [None if t is None else redact(t, find(t, threshold)) for t in b.column(text).to_pylist()]
             yield b.set_column(text, b.schema.field(text), pa.array(new, b.schema.field(text).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.toDF(*plain.names).mapInArrow(run, plain).toDF(*docs.columns)

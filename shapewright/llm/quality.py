@@ -129,13 +129,15 @@ def quality(docs: DataFrame, bands: Bands = BANDS, id_col: str = "doc_id", text_
 
 
 def keep_good(docs: DataFrame, bands: Bands = BANDS, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text passes; all columns stay, whatever their names."""
+    """The rows of docs whose text passes; all columns stay, whatever their names, also if two share one.
+
+    Null and empty texts go, as they have fewer than 50 words. Repeated rows stay or go alike; null ids don't matter; an
+    empty table gives an empty table.
+    """
     from pyspark.sql import types as T
 
-    fields = docs.schema.fields
     text = docs.columns.index(text_col)
-    if len({f.name for f in fields}) < len(fields):
-        raise ValueError("two columns have the same name")
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
 
     def run(batches):
         import pyarrow as pa
@@ -143,7 +145,6 @@ def keep_good(docs: DataFrame, bands: Bands = BANDS, text_col: str = "text") ->
 
         z = zstandard.ZstdCompressor(level=bands.level)
         for b in batches:
-            data = b.column(text).cast(pa.large_binary()).to_pylist() if not pa.types.is_null(b.column(text).type) else [None] * b.num_rows
-            yield b.filter(pa.array([measure(x or b"", z, bands)["kept"] for x in data], pa.bool_()))
+            yield b.filter(pa.array([measure(x, z, bands)["kept"] for x in text_bytes(b, f"c{text}")], pa.bool_()))
 
-    return docs.mapInArrow(run, T.StructType(fields))
+    return docs.toDF(*plain.names).mapInArrow(run, plain).toDF(*docs.columns)
