@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, mix, odd_constants, pieces, text_bytes, window_hash
+from .common import cut, free_names, mix, odd_constants, pieces, text_bytes, window_hash
 
 WINDOW = 13
 SHINGLE = 3
@@ -51,16 +51,16 @@ class Index:
 
     @staticmethod
     def build(rows: list[tuple[str, bytes]]) -> Index:
-        out, seen = Index(), {}
+        out, seen, held = Index(), {}, []
         for item, text in rows:
             for w in windows_of(words_of(text)):
                 key = tuple(out.numbers.setdefault(x, len(out.numbers) + 1) for x in w)
                 if key not in seen:
                     seen[key] = len(out.windows)
                     out.windows.append(key)
-                    out.items.append([])
-                if item not in out.items[seen[key]]:
-                    out.items[seen[key]].append(item)
+                    held.append(set())
+                held[seen[key]].add(item)
+        out.items = [sorted(x) for x in held]
         by: dict[int, set[int]] = {}
         for w in out.windows:
             by.setdefault(min(SHINGLE, len(w)), set()).update(shingle_hashes(np.array(w)).tolist())
@@ -182,9 +182,10 @@ def marked(docs: DataFrame, benchmark: DataFrame, most_windows: int, text_col: s
     Each block of the benchmark is a pass of its own. Between passes the rows are written down, so a task holds one
     block's index at a time.
     """
-    names = {k: next(n for n in (f"hit_{k}{'_' * i}" for i in range(99)) if n.lower() not in [c.lower() for c in docs.columns]) for k in ("words", "hit", "bits", "items")}
+    names = dict(zip(("words", "hit", "bits", "items"), free_names(docs.columns, "hit_words", "hit_hit", "hit_bits", "hit_items")))
     at, width = docs.columns.index(text_col), len(docs.columns)
-    out = docs.withColumns({names["words"]: F.lit(0).cast("long"), names["hit"]: F.lit(0).cast("long"), names["bits"]: F.lit(None).cast("binary"), names["items"]: F.array().cast("array<string>")})
+    plain = [f"c{i}" for i in range(width)]
+    out = docs.toDF(*plain).withColumns({names["words"]: F.lit(0).cast("long"), names["hit"]: F.lit(0).cast("long"), names["bits"]: F.lit(None).cast("binary"), names["items"]: F.array().cast("array<string>")})
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema])
 
     def pass_over(before: DataFrame, shared) -> DataFrame:
@@ -216,7 +217,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, most_windows: int, text_col: s
         first = False
     if first:  # nothing to look for: words are counted all the same
         out = pass_over(out, docs.sparkSession.sparkContext.broadcast(Index()))
-    return out, names
+    return out.toDF(*docs.columns, *names.values()), names
 
 
 def leaked(names: dict[str, str]) -> Column:
@@ -231,7 +232,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, most_windows: int = 400
     once. Repeated rows and null ids stay as they are; an empty benchmark hits nothing; an empty table gives an empty
     table; other columns are ignored. contaminated: a word is hit, and 20 times the hit words are as many as all words.
     """
-    out, c = marked(docs.select(id_col, text_col), benchmark, most_windows, text_col, item_col, item_text_col)
+    out, c = marked(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), benchmark, most_windows, text_col, item_col, item_text_col)
     return out.select(
         id_col,
         F.col(c["words"]).alias("n_words"),
@@ -243,6 +244,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, most_windows: int = 400
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, most_windows: int = 400_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns."""
+    """The rows of docs that hold no window of the benchmark, with all their columns, whatever their names.
+
+    One window is enough for a row to go: a share of the words, as in `contaminated`, would let long texts keep whole
+    passages. Null and empty texts stay, as do null ids; repeated rows go or stay alike; an empty benchmark takes
+    nothing away; an empty table gives an empty table.
+    """
     out, c = marked(docs, benchmark, most_windows, text_col, item_col, item_text_col)
-    return out.where(~leaked(c)).drop(*c.values())
+    return out.where(F.col(c["hit"]) == 0).drop(*c.values())
