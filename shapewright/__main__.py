@@ -6,12 +6,13 @@ import argparse
 import sys
 import time
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from .api import MODES, Shapes
 from .operators.report import disallowed_from
 from .plans.ir import DISALLOWED
-from .sources.graph import UnionGraph, cached, read_documents
+from .sources.graph import BAD_LINE, UnionGraph, cached, read_documents
 from .terms import ParseError, ShapeError
 
 
@@ -22,6 +23,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("-df", "--data-format")
     p.add_argument("-sf", "--shapes-format")
     p.add_argument("--build-index", metavar="FOLDER", help="keep a Parquet copy of the data there")
+    p.add_argument("-m", "--meta", action="store_true", help="validate the shapes themselves first")
     p.add_argument("--allow-no-shapes", action="store_true")
     p.add_argument("-o", "--output")
     p.add_argument("--abort", action="store_true", help="stop at the first result that counts")
@@ -41,7 +43,12 @@ def main(argv: list[str] | None = None) -> int:
     try:
         graph = cached(spark, a.data[0], a.build_index) if a.build_index and len(a.data) == 1 else read_documents(spark, a.data, a.data_format)
         graph = graph if not isinstance(graph, list) else UnionGraph(graph)
-        shapes = Shapes.from_file(spark, (a.shapes or a.data)[0], a.shapes_format)
+        shapes = Shapes.from_files(spark, a.shapes or [x for x in a.data if x != "-"], a.shapes_format or (None if a.shapes else a.data_format))
+        if a.meta:
+            flaws = shapes.flaws()
+            if not flaws.conforms:
+                print(flaws.text, end="", file=sys.stderr)
+                return 2
         if not len(shapes) and not a.allow_no_shapes:
             raise ShapeError("the shapes graph has no shapes")
         mode = "rules-iterated" if a.iterate_rules else "rules" if a.advanced else a.inference
@@ -62,6 +69,11 @@ def main(argv: list[str] | None = None) -> int:
     except (ShapeError, ParseError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
+    except PySparkException as e:
+        if BAD_LINE not in str(e):
+            raise
+        print(f"error: {str(e)[str(e).index(BAD_LINE):].splitlines()[0]}", file=sys.stderr)
+        return 2
 
 
 if __name__ == "__main__":

@@ -79,9 +79,20 @@ class Shapes:
     def from_file(cls, spark: SparkSession, path: str, syntax: str | None = None) -> Shapes:
         return cls(spark, ir.Shapes(Triples(parse_file(path, syntax, "s"))))
 
+    @classmethod
+    def from_files(cls, spark: SparkSession, paths: list[str], syntax: str | None = None) -> Shapes:
+        """The shapes of several documents as one graph; blank nodes are kept apart."""
+        return cls(spark, ir.Shapes(Triples([t for i, path in enumerate(paths) for t in parse_file(path, syntax, f"s{i}")])))
+
     def __len__(self) -> int:
         return len(self.compiled)
 
+    def flaws(self) -> Report:
+        """What shapes about shapes find in the shapes graph."""
+        from .plans.meta import META
+
+        return Shapes.from_turtle(self.spark, META).validate(TripleGraph.of(self.spark, self.compiled.graph.rows))
+
     def validate(self, graph: Graph, mode: str = "none", max_results: int | None = None, allow_warnings: bool = False, allow_infos: bool = False) -> Report:
         if mode not in MODES:
             raise ValueError(f"inference is one of {', '.join(MODES)}")

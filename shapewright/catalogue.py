@@ -96,12 +96,23 @@ add("pv_root_class", class_tree, "ex:S a sh:NodeShape ; sh:targetClass ex:Nation
 add("ag_min_count", "orders customer", "ex:S a sh:NodeShape ; sh:targetClass ex:Customer ; sh:property [ sh:path [ sh:inversePath ex:customer ] ; sh:minCount 8 ] .", rows(C, "^<http://ex/customer>", None, "MinCount", "FROM customer LEFT JOIN (SELECT o_custkey, count(*) n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE coalesce(n, 0) < 8"))
 add("ag_max_count", "orders customer", "ex:S a sh:NodeShape ; sh:targetClass ex:Customer ; sh:property [ sh:path [ sh:inversePath ex:customer ] ; sh:maxCount 12 ] .", rows(C, "^<http://ex/customer>", None, "MaxCount", "FROM customer JOIN (SELECT o_custkey, count(*) n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE n > 12"))
 add("ag_min_count_column", "orders", "ex:S a sh:NodeShape ; sh:targetClass ex:Order ; sh:property [ sh:path ex:total ; sh:minCount 2 ] .", rows(O, "total", None, "MinCount", "FROM orders"))
-add("ag_unique_lang", "documents", "ex:S a sh:NodeShape ; sh:targetClass ex:Document ; sh:property [ sh:path ( ex:source [ sh:inversePath ex:source ] ex:text ) ; sh:uniqueLang true ] .", None)
+
+
+def sayings(spark: SparkSession, sf_dir: str) -> Graph:
+    """What is said in a conversation, tagged by the role that says it: a conversation has a few turns."""
+    from .functions.xsd import lang_term
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    key = F.concat(F.lit(f"<{EX}talk/"), F.col("conv_id").cast("string"), F.lit(">"))
+    said = t.select(key.alias("s"), F.lit(f"<{EX}says>").alias("p"), lang_term(F.concat(F.col("turn").cast("string"), F.lit("/"), F.char_length("text").cast("string")), F.col("role")).alias("o"))
+    return TripleGraph(said.distinct(), [f"<{EX}says>"])
+
+
+add("ag_unique_lang", sayings, "ex:S a sh:NodeShape ; sh:targetSubjectsOf ex:says ; sh:property [ sh:path ex:says ; sh:uniqueLang true ] .", rows(node("talk", "conv_id"), "says", None, "UniqueLang", "FROM (SELECT DISTINCT conv_id, lower(role) AS role, turn, length(text) AS n FROM conversations) GROUP BY conv_id, role HAVING count(*) > 1"))
 add("ag_qualified_min", "orders customer", "ex:S a sh:NodeShape ; sh:targetClass ex:Customer ; sh:property [ sh:path [ sh:inversePath ex:customer ] ; sh:qualifiedValueShape [ sh:property [ sh:path ex:total ; sh:minInclusive 200000 ] ] ; sh:qualifiedMinCount 3 ] .", rows(C, "^<http://ex/customer>", None, "QualifiedMinCount", "FROM customer LEFT JOIN (SELECT o_custkey, count(*) n FROM orders WHERE o_totalprice >= 200000 GROUP BY 1) ON o_custkey = c_custkey WHERE coalesce(n, 0) < 3"))
 add("ag_qualified_max", "orders customer", "ex:S a sh:NodeShape ; sh:targetClass ex:Customer ; sh:property [ sh:path [ sh:inversePath ex:customer ] ; sh:qualifiedValueShape [ sh:property [ sh:path ex:total ; sh:minInclusive 200000 ] ] ; sh:qualifiedMaxCount 6 ] .", rows(C, "^<http://ex/customer>", None, "QualifiedMaxCount", "FROM customer JOIN (SELECT o_custkey, count(*) n FROM orders WHERE o_totalprice >= 200000 GROUP BY 1) ON o_custkey = c_custkey WHERE n > 6"))
 add("ag_qualified_disjoint", "orders customer", 'ex:S a sh:NodeShape ; sh:targetClass ex:Customer ; sh:property ex:P1 , ex:P2 . ex:P1 sh:path [ sh:inversePath ex:customer ] ; sh:qualifiedValueShape [ sh:property [ sh:path ex:total ; sh:minInclusive 200000 ] ] ; sh:qualifiedValueShapesDisjoint true ; sh:qualifiedMinCount 3 . ex:P2 sh:path [ sh:inversePath ex:customer ] ; sh:qualifiedValueShape [ sh:property [ sh:path ex:status ; sh:hasValue "F" ] ] ; sh:qualifiedMinCount 0 .', rows(C, "^<http://ex/customer>", None, "QualifiedMinCount", "FROM customer LEFT JOIN (SELECT o_custkey, count(*) n FROM orders WHERE o_totalprice >= 200000 AND o_orderstatus <> 'F' GROUP BY 1) ON o_custkey = c_custkey WHERE coalesce(n, 0) < 3"))
 add("ag_some_value", "orders customer", 'ex:S a sh:NodeShape ; sh:targetClass ex:Customer ; sh:property [ sh:path [ sh:inversePath ex:customer ] ; sh:someValue [ sh:property [ sh:path ex:status ; sh:hasValue "P" ] ] ] .', rows(C, "^<http://ex/customer>", None, "SomeValue", "FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"))
-add("ag_unique_values_for", "orders", "ex:S a sh:NodeShape ; sh:targetClass ex:Order ; sh:uniqueValuesFor ( ex:customer ex:date ) .", rows(O, None, O, "UniqueValuesFor", "FROM orders JOIN (SELECT o_custkey c, o_orderdate d FROM orders GROUP BY 1, 2 HAVING count(*) > 1) ON o_custkey = c AND o_orderdate = d"))
+add("ag_unique_values_for", "orders", "ex:S a sh:NodeShape ; sh:targetClass ex:Order ; sh:uniqueValuesFor ( ex:customer ex:date ) .", rows(O, None, None, "UniqueValuesFor", "FROM orders JOIN (SELECT o_custkey c, o_orderdate d FROM orders GROUP BY 1, 2 HAVING count(*) > 1) ON o_custkey = c AND o_orderdate = d"))
 
 # pairs of properties, joins
 VN = "(SELECT DISTINCT c_custkey, s_nationkey FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey)"
@@ -143,7 +154,15 @@ def chain(spark: SparkSession, sf_dir: str) -> Graph:
     return g
 
 
+# turns are consecutive in a conversation; a turn fails if its own role, or that of one that follows it, isn't allowed
+CHAIN_SQL = (
+    "WITH RECURSIVE t AS (SELECT conv_id, turn, min(role) AS role, max(role) AS most FROM conversations GROUP BY 1, 2), "
+    "bad(conv_id, turn) AS (SELECT conv_id, turn FROM t WHERE role NOT IN ('user', 'assistant') OR most NOT IN ('user', 'assistant') UNION SELECT t.conv_id, t.turn FROM t JOIN bad ON t.conv_id = bad.conv_id AND t.turn + 1 = bad.turn) "
+    + rows(node("conversations", "conv_id || '-' || turn"), "role", lit("r"), "In", "FROM (SELECT DISTINCT conv_id, turn, role AS r FROM conversations) WHERE r NOT IN ('user', 'assistant')")
+    + " UNION ALL " + rows(node("conversations", "t.conv_id || '-' || t.turn"), "next", node("conversations", "t.conv_id || '-' || (t.turn + 1)"), "Node", "FROM t JOIN bad ON t.conv_id = bad.conv_id AND t.turn + 1 = bad.turn")
+)
 add("lg_recursive", chain, 'ex:S a sh:NodeShape ; sh:targetClass ex:Conversation ; sh:property ex:R . ex:R sh:path ex:next ; sh:property [ sh:path ex:role ; sh:hasValue "user" ] ; sh:node ex:T . ex:T sh:property [ sh:path ex:said ; sh:maxLength 2000 ] .', None)
+add("lg_recursive_chain", chain, 'ex:S a sh:NodeShape ; sh:targetClass ex:Conversation ; sh:property [ sh:path ex:next ; sh:node ex:S ; sh:name "all that follow" ] ; sh:property [ sh:path ex:role ; sh:in ( "user" "assistant" ) ] .', CHAIN_SQL)
 
 # targets
 add("tg_node", "orders", "ex:S a sh:NodeShape ; sh:targetNode <http://ex/orders/1> , <http://ex/orders/2> , 7 ; sh:nodeKind sh:BlankNode .", " UNION ALL ".join(rows(f"'{x}'", None, f"'{x}'", "NodeKind", "") for x in ("<http://ex/orders/1>", "<http://ex/orders/2>", f'"7"^^<{XSD}integer>')))

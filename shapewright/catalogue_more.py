@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalogue import ORACLE_SQL, PREFIXES, QUERIES, C, N, O, P, S, add, brief, lit, node, num, rows
 from .functions.library import call
 from .functions.nodeexpr import Expressions
-from .functions.xsd import constant, iri_term
+from .functions.xsd import constant, iri_term, term_of_key
 from .operators import inference, report
 from .operators.validate import Validator, conforms, validate, validate_nodes
 from .plans.ir import load_shapes
@@ -16,7 +16,7 @@ from .plans.sparql import Engine
 from .plans.sparql import parse as parse_query
 from .sources.graph import Graph, TripleGraph, UnionGraph
 from .sources.tables import EX, graph
-from .terms import SUBCLASS, TYPE, XSD, literal, rdfs
+from .terms import FIRST, NIL, REIFIES, REST, SUBCLASS, TYPE, XSD, literal, rdfs
 
 TOTAL = num("o_totalprice")
 
@@ -37,6 +37,8 @@ def url(table: str, key: str) -> str:
 
 OU, CU, NU, SU = url("orders", "o_orderkey"), url("customer", "c_custkey"), url("nation", "n_nationkey"), url("supplier", "s_suppkey")
 V = "CAST({} AS VARCHAR)".format
+# the mean of sizes to 18 places, by hand
+AVG18 = "(sum(p_size)::HUGEINT // count(*))::VARCHAR || '.' || CASE WHEN sum(p_size)::HUGEINT % count(*) = 0 THEN '0' ELSE regexp_replace(lpad((((sum(p_size)::HUGEINT % count(*)) * 1000000000000000000 * 2 + count(*)) // (2 * count(*)))::VARCHAR, 18, '0'), '0+$', '') END"
 sparql("sq_select", "orders", "SELECT ?o ?t WHERE { ?o ex:total ?t ; ex:status 'P' FILTER(?t > 300000) }", f"SELECT {OU} AS o, {V('o_totalprice')} AS t FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 300000")
 sparql("sq_join", "customer nation", "SELECT ?c ?n WHERE { ?c ex:nation ?x . ?x ex:name ?n . ?c ex:acctbal ?b FILTER(?b < 0) }", f"SELECT {CU} AS c, n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0")
 sparql("sq_optional", "customer orders", "SELECT ?c ?o WHERE { ?c ex:segment 'BUILDING' OPTIONAL { ?o ex:customer ?c ; ex:total ?t FILTER(?t > 400000) } }", f"SELECT {CU} AS c, {OU} AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000 WHERE c_mktsegment = 'BUILDING'")
@@ -50,6 +52,14 @@ sparql("sq_path", "supplier nation region", "SELECT ?s ?r WHERE { ?s ex:nation/e
 sparql("sq_subselect", "customer orders", "SELECT ?c ?n WHERE { ?c ex:segment 'MACHINERY' { SELECT ?c (COUNT(?o) AS ?n) WHERE { ?o ex:customer ?c } GROUP BY ?c } }", f"SELECT {CU} AS c, {V('count(*)')} AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY' GROUP BY c_custkey")
 sparql("sq_order_limit", "orders", "SELECT ?o WHERE { ?o ex:total ?t } ORDER BY DESC(?t) ?o LIMIT 10 OFFSET 2", f"SELECT {OU} AS o FROM orders ORDER BY o_totalprice DESC, {OU} LIMIT 10 OFFSET 2")
 sparql("sq_distinct", "orders", "SELECT DISTINCT ?p WHERE { ?o ex:priority ?p }", "SELECT DISTINCT o_orderpriority AS p FROM orders")
+sparql("sq_distinct_order", "orders", "SELECT DISTINCT ?p WHERE { ?o ex:priority ?p ; ex:total ?t } ORDER BY DESC(?t) ?p", "SELECT DISTINCT o_orderpriority AS p FROM orders")
+sparql("sq_distinct_order_limit", "orders", "SELECT DISTINCT ?p WHERE { ?o ex:priority ?p } ORDER BY ?p LIMIT 3", "SELECT DISTINCT o_orderpriority AS p FROM orders ORDER BY 1 LIMIT 3")
+sparql("sq_exists_bound", "customer orders", "SELECT ?c ?x WHERE { ?c ex:segment 'BUILDING' BIND(EXISTS { ?o ex:customer ?c ; ex:status 'P' } AS ?x) }", f"SELECT {CU} AS c, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN 'true' ELSE 'false' END AS x FROM customer WHERE c_mktsegment = 'BUILDING'")
+sparql("sq_optional_filter_both", "customer orders", "SELECT ?c ?o WHERE { ?c ex:acctbal ?b OPTIONAL { ?o ex:customer ?c ; ex:total ?t FILTER(?t > ?b + 300000) } }", f"SELECT {CU} AS c, {OU} AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > c_acctbal + 300000")
+sparql("sq_avg", "part", "SELECT ?b (AVG(?s) AS ?x) WHERE { ?p ex:brand ?b ; ex:size ?s } GROUP BY ?b", f"SELECT p_brand AS b, {AVG18} AS x FROM part GROUP BY 1")
+sparql("fx_error_unbound", "part", "SELECT ?p WHERE { ?p ex:size ?s FILTER(?none > 1 || ?s > 40) }", f"SELECT {url('part', 'p_partkey')} AS p FROM part WHERE p_size > 40")
+sparql("fx_now", "region", "SELECT ?r WHERE { ?r a ex:Region FILTER(NOW() > '2000-01-01T00:00:00'^^xsd:dateTime) }", f"SELECT {url('region', 'r_regionkey')} AS r FROM region")
+sparql("fx_date_duration", "orders", "SELECT ?o (?d + 'P1DT2H'^^xsd:dayTimeDuration AS ?x) (?d - 'P1Y2M'^^xsd:yearMonthDuration AS ?y) WHERE { ?o ex:date ?d }", f"SELECT {OU} AS o, strftime(o_orderdate + INTERVAL 26 HOUR, '%Y-%m-%dT%H:%M:%S') AS x, strftime(o_orderdate - INTERVAL 14 MONTH, '%Y-%m-%dT%H:%M:%S') AS y FROM orders")
 sparql("sq_predicate_variable", "nation", "SELECT ?p (COUNT(*) AS ?n) WHERE { ?s ?p ?o } GROUP BY ?p", "SELECT x AS p, CAST(n AS VARCHAR) AS n FROM (SELECT count(*) n FROM nation), (VALUES ('http://www.w3.org/1999/02/22-rdf-syntax-ns#type'), ('http://ex/name'), ('http://ex/region')) t(x)")
 sparql("sq_if_coalesce", "supplier", "SELECT ?s (IF(?b < 0, 'debt', 'fine') AS ?x) (COALESCE(?none, 'gap') AS ?y) WHERE { ?s ex:acctbal ?b }", f"SELECT {SU} AS s, CASE WHEN s_acctbal < 0 THEN 'debt' ELSE 'fine' END AS x, 'gap' AS y FROM supplier")
 
@@ -198,6 +208,74 @@ for _name, _sql in (("subject", "'http://ex/s'"), ("predicate", "'http://ex/p'")
     function(_name, "part", [f'<<( <{EX}s> <{EX}p> "x" )>>'], _sql, "p_partkey")
 
 
+# -- functions whose inputs reach the hard cases: values made from columns
+def computed(name: str, fn_name: str, table: str, key: str, args: list, sql: str) -> None:
+    """args: columns of the table as SQL expressions of term keys, or constants."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = graph(spark, sf_dir, table).tables[table]
+        df = t.df.select(t.key().alias("focus_node"), *[(F.expr(a[1]) if isinstance(a, tuple) else F.lit(a)).alias(f"x{n}") for n, a in enumerate(args)])
+        df = df.select("focus_node", *[term_of_key(F.col(f"x{n}")).alias(f"a{n}") for n in range(len(args))])
+        return df.select("focus_node", call(fn_name, [F.col(f"a{n}") for n in range(len(args))]).getField("lex").alias("value"))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"SELECT {node(table, key)} AS focus_node, {sql} AS value FROM {table}"
+
+
+def made_of(expression: str, dt: str) -> tuple[str, str]:
+    return ("", f"concat('\"', cast({expression} as string), '\"^^<{XSD}{dt}>')")
+
+
+HALF = made_of("cast((p_size - 25) as decimal(10,1)) / 2", "decimal")
+for _name, _sql in (("abs", "abs(p_size - 25) / 2.0"), ("ceil", "ceil((p_size - 25) / 2.0)"), ("floor", "floor((p_size - 25) / 2.0)"), ("round", "floor((p_size - 25) / 2.0 + 0.5)")):
+    computed(f"fn_{_name}_halves", _name, "part", "p_partkey", [HALF], f"replace(printf('%.1f', {_sql}), '-0.0', '0.0')")
+# long division by hand: 18 places of p_size / 7, the last rounded
+for _n in (3, 7):
+    computed(f"fn_divide_by_{_n}", "divide", "part", "p_partkey", [made_of("p_size", "integer"), i(_n)], f"(p_size // {_n})::VARCHAR || '.' || CASE WHEN p_size % {_n} = 0 THEN '0' ELSE lpad((((p_size % {_n})::HUGEINT * 1000000000000000000 * 2 + {_n}) // {2 * _n})::VARCHAR, 18, '0') END")
+computed("fn_multiply_places", "multiply", "part", "p_partkey", [made_of("p_size", "decimal"), literal("0.000000000000000001", XSD + "decimal")], "'0.' || CASE WHEN p_size = 0 THEN '0' ELSE regexp_replace(lpad(p_size::VARCHAR, 18, '0'), '0+$', '') END")
+computed("fn_divide_long", "divide", "region", "r_regionkey", [literal("1000", XSD + "decimal"), literal("31.583333333333333333", XSD + "decimal")], "'31.662269129287598945'")
+computed("fn_multiply_long", "multiply", "region", "r_regionkey", [literal("1.3", XSD + "decimal"), literal("31.583333333333333333", XSD + "decimal")], "'41.058333333333333333'")
+# kinds of terms by row: an IRI, a blank node, a triple term, a literal with or without a language
+MIXED = ("", f"CASE o_orderkey % 5 WHEN 0 THEN '<{EX}a>' WHEN 1 THEN '_:b' WHEN 2 THEN '<<( <{EX}s> <{EX}p> \"x\" )>>' WHEN 3 THEN '\"w\"@en-gb' ELSE '\"w\"@ar--rtl' END")
+for _name, _when in (("isIRI", "= 0"), ("isURI", "= 0"), ("isBlank", "= 1"), ("isTriple", "= 2"), ("isLiteral", "> 2"), ("hasLang", "> 2"), ("hasLangdir", "= 4")):
+    computed(f"fn_{_name.lower()}_mixed", _name, "orders", "o_orderkey", [MIXED], b(f"o_orderkey % 5 {_when}"))
+TAGS = ("", "CASE o_orderkey % 3 WHEN 0 THEN '\"en-GB\"' WHEN 1 THEN '\"fr\"' ELSE '\"\"' END")
+computed("fn_langmatches_tags", "langMatches", "orders", "o_orderkey", [TAGS, '"en"'], b("o_orderkey % 3 = 0"))
+computed("fn_langmatches_any", "langMatches", "orders", "o_orderkey", [TAGS, '"*"'], b("o_orderkey % 3 < 2"))
+computed("fn_if_rows", "if", "orders", "o_orderkey", [made_of("o_orderkey % 2 = 0", "boolean"), '"even"', '"odd"'], "CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END")
+computed("fn_logical_or_rows", "logical-or", "orders", "o_orderkey", [made_of("o_orderkey % 2 = 0", "boolean"), made_of("o_orderkey % 3 = 0", "boolean")], b("o_orderkey % 2 = 0 OR o_orderkey % 3 = 0"))
+computed("fn_bound_rows", "bound", "orders", "o_orderkey", [("", "CASE WHEN o_orderkey % 2 = 0 THEN '\"x\"' END")], b("o_orderkey % 2 = 0"))
+ZONED = ("", f"concat('\"2001-02-03T', lpad(cast(o_orderkey % 24 as string), 2, '0'), ':', lpad(cast(o_orderkey % 60 as string), 2, '0'), ':07.25', CASE o_orderkey % 3 WHEN 0 THEN 'Z' WHEN 1 THEN '-05:30' ELSE '' END, '\"^^<{XSD}dateTime>')")
+for _name, _sql in (("hours", "(o_orderkey % 24)::VARCHAR"), ("minutes", "(o_orderkey % 60)::VARCHAR"), ("seconds", "'7.25'"), ("tz", "CASE o_orderkey % 3 WHEN 0 THEN 'Z' WHEN 1 THEN '-05:30' ELSE '' END"), ("timezone", "CASE o_orderkey % 3 WHEN 0 THEN 'PT0S' WHEN 1 THEN '-PT5H30M' END")):
+    computed(f"fn_{_name}_zoned", _name, "orders", "o_orderkey", [ZONED], _sql)
+TRIPLED = ("", f"concat('<<( <{EX}s', o_orderkey, '> <{EX}p', o_orderkey, '> \"x', o_orderkey, '\" )>>')")
+for _name, _sql in (("subject", f"'{EX}s' || o_orderkey"), ("predicate", f"'{EX}p' || o_orderkey"), ("object", "'x' || o_orderkey")):
+    computed(f"fn_{_name}_rows", _name, "orders", "o_orderkey", [TRIPLED], _sql)
+computed("fn_bound_null", "coalesce", "orders", "o_orderkey", [("", "CASE WHEN o_orderkey % 2 = 0 THEN '\"x\"' END"), '"gap"'], "CASE WHEN o_orderkey % 2 = 0 THEN 'x' ELSE 'gap' END")
+
+
+def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of the long digests, and whether different brands have different ones."""
+    t = graph(spark, sf_dir, "part").tables["part"]
+    df = t.df.select(t.object(f"<{EX}brand>").alias("a")).select(F.col("a.lex").alias("b"), *[call(n, [F.col("a")]).getField("lex").alias(n) for n in ("sha384", "sha512")])
+    return df.groupBy().agg(F.countDistinct("b").alias("brands"), *[x for n in ("sha384", "sha512") for x in (F.countDistinct(n).alias(f"{n}_kinds"), F.max(F.length(n)).alias(f"{n}_length"))])
+
+
+QUERIES["fn_sha384_sha512"] = digests
+ORACLE_SQL["fn_sha384_sha512"] = "SELECT count(DISTINCT p_brand) AS brands, count(DISTINCT p_brand) AS sha384_kinds, 96 AS sha384_length, count(DISTINCT p_brand) AS sha512_kinds, 128 AS sha512_length FROM part"
+sparql("fn_bnode_uuid_struuid", "nation", "SELECT ?n (isBlank(BNODE()) AS ?b) (REGEX(STR(UUID()), '^urn:uuid:[0-9a-f-]{36}$') AS ?u) (STRLEN(STRUUID()) AS ?l) WHERE { ?n a ex:Nation }", f"SELECT {NU} AS n, 'true' AS b, 'true' AS u, '36' AS l FROM nation")
+
+# -- expressions over several values of a row
+expression("ne_sum_values", "part", "part", f"[ shnex:sum ( {PV('size')} 2 {PV('size')} ) ]", ne(V("p_size * 2 + 2") + " || '.0'", "FROM part"))
+expression("ne_distinct_values", "part", "part", f"[ shnex:distinct ( {PV('brand')} 'x' {PV('brand')} {PV('ptype')} ) ]", ne("p_brand || '|x|' || p_type", "FROM part"))
+expression("ne_limit_values", "part", "part", f"[ shnex:limit 2 ; shnex:nodes ( {PV('ptype')} {PV('brand')} 'c' ) ]", ne("p_type || '|' || p_brand", "FROM part"))
+expression("ne_offset_values", "part", "part", f"[ shnex:offset 1 ; shnex:nodes ( 'a' {PV('brand')} {PV('ptype')} ) ]", ne("p_brand || '|' || p_type", "FROM part"))
+expression("ne_sparql_expr", "part", "part", '[ sh:prefixes ex: ; sh:sparqlExpr "STRLEN(STR($this)) > 22" ]', ne(b(f"length({url('part', 'p_partkey')}) > 22"), "FROM part"))
+expression("ne_af_filter_shape", "supplier nation", "nation", f"[ shnex:count [ sh:filterShape ex:Big ; sh:nodes [ sh:path [ sh:inversePath ex:nation ] ; sh:nodes sh:this ] ] ]", ne(V("count(s_suppkey)"), "FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal >= 0 GROUP BY n_nationkey", N), BIG)
+expression("ne_af_intersection", "part", "part", f"[ sh:intersection ( ( {PV('ptype')} 'z' ) ( 'PROMO' 'z' ) ) ]", ne("CASE WHEN p_type = 'PROMO' THEN 'PROMO|z' ELSE 'z' END", "FROM part"))
+expression("ne_empty", "part", "part", "( 'a' [] )", ne("'a'", "FROM part"))
+
+
 # -- rules and entailment
 def made(g: Graph, out: TripleGraph) -> DataFrame:
     """The triples that were not there before."""
@@ -292,3 +370,103 @@ QUERIES["src_match"] = lambda spark, sf_dir: graph(spark, sf_dir, "nation").matc
 ORACLE_SQL["src_match"] = spo(N, f"<{EX}region>", f"'<{EX}region/1>'", "FROM nation WHERE n_regionkey = 1")
 QUERIES["src_nodes"] = lambda spark, sf_dir: graph(spark, sf_dir, "nation").nodes().select(F.col("o.k").alias("node"))
 ORACLE_SQL["src_nodes"] = f"SELECT {N} AS node FROM nation UNION SELECT {REG} FROM nation UNION SELECT {lit('n_name')} FROM nation UNION SELECT '<{EX}Nation>' FROM nation"
+
+
+def documented(name: str, syntax: str) -> None:
+    """Written in a syntax, read back, the triples are the table's."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .sources.rdf import parse
+
+        triples = [tuple(r) for r in graph(spark, sf_dir, "nation").triples().select("s", "p", F.col("o.k").alias("k")).collect()]  # 25 nations at every size
+        back = TripleGraph.of(spark, parse(report.serialize(triples, syntax), syntax))
+        return back.triples().select("s", "p", F.col("o.k").alias("o"))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = NATION_TRIPLES
+
+
+NATION_TRIPLES = spo(N, TYPE, f"'<{EX}Nation>'", "FROM nation") + " UNION ALL " + spo(N, f"<{EX}name>", lit("n_name"), "FROM nation") + " UNION ALL " + spo(N, f"<{EX}region>", REG, "FROM nation")
+for _syntax in ("turtle", "ntriples", "rdfxml", "jsonld"):
+    documented(f"src_{_syntax}", _syntax)
+
+
+def report_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All triples of a report but node names: messages with quotes, compound paths, details."""
+    shapes = load_shapes(PREFIXES + """ex:S a sh:NodeShape ; sh:targetClass ex:Nation ; sh:property [ sh:path ( ex:region ex:name ) ; sh:in ( 'ASIA' ) ; sh:message 'say "no"' ] .""")
+    t = report.report_triples(validate(graph(spark, sf_dir, "nation", "region"), shapes), shapes=shapes)
+    blank = lambda c: F.when(F.col(c).startswith("_:"), "_").otherwise(F.col(c))
+    return t.select(blank("s").alias("s"), "p", blank("o").alias("o")).groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["snk_report_whole"] = report_whole
+_REST = "(SELECT count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA')"
+_ROWS = [
+    (TYPE, f"'{report.sh('ValidationReport')}'", "1"), (report.sh("conforms"), f"CASE WHEN n = 0 THEN '\"true\"^^<{XSD}boolean>' ELSE '\"false\"^^<{XSD}boolean>' END", "1"), (report.sh("result"), "'_'", "n"), (TYPE, f"'{report.sh('ValidationResult')}'", "n"),
+    (report.sh("sourceConstraintComponent"), f"'{report.sh('InConstraintComponent')}'", "n"), (report.sh("resultSeverity"), f"'{report.sh('Violation')}'", "n"), (report.sh("sourceShape"), "'_'", "n"), (report.sh("resultPath"), "'_'", "n"), (report.sh("resultMessage"), "'\"say \\\"no\\\"\"'", "n"),
+    (report.FIRST, f"'<{EX}region>'", "n"), (report.FIRST, f"'<{EX}name>'", "n"), (report.REST, "'_'", "n"), (report.REST, f"'{report.NIL}'", "n"),
+]
+ORACLE_SQL["snk_report_whole"] = (
+    "SELECT s, p, o, CAST(sum(n) AS BIGINT) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT '_' AS s, '{p}' AS p, {o} AS o, {n} AS n FROM {_REST}" for p, o, n in _ROWS)
+    + f" UNION ALL SELECT '_', '{report.sh('focusNode')}', {N}, 1 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'"
+    + f" UNION ALL SELECT '_', '{report.sh('value')}', {lit('r_name')}, 1 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA') WHERE n > 0 GROUP BY 1, 2, 3"
+)
+
+
+def reified(spark: SparkSession, sf_dir: str) -> Graph:
+    """A reifier for each order's status that says who it is from; every seventh says nobody."""
+    g = graph(spark, sf_dir, "orders")
+    t = g.tables["orders"]
+    claim = F.concat(F.lit("<<( "), t.key(), F.lit(f" <{EX}status> "), t.object(f"<{EX}status>").getField("k"), F.lit(" )>>"))
+    r = F.concat(F.lit(f"<{EX}claim/"), F.col("o_orderkey").cast("string"), F.lit(">"))
+    says = t.df.where("o_orderkey % 7 <> 0").select(r.alias("s"), F.lit(f"<{EX}from>").alias("p"), F.lit(f"<{EX}clerk>").alias("k"))
+    return UnionGraph([g, TripleGraph.keys(t.df.where("o_orderkey % 11 <> 0").select(r.alias("s"), F.lit(REIFIES).alias("p"), claim.alias("k")).unionByName(says))])
+
+
+add("lg_reifier_shape", reified, "ex:From sh:property [ sh:path ex:from ; sh:minCount 1 ] . ex:From a sh:NodeShape . ex:S a sh:NodeShape ; sh:targetClass ex:Order ; sh:property [ sh:path ex:status ; sh:reifierShape ex:From ] .", rows(O, "status", lit("o_orderstatus"), "ReifierShape", "FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 11 <> 0"))
+add("lg_reification_required", reified, "ex:From a sh:NodeShape . ex:S a sh:NodeShape ; sh:targetClass ex:Order ; sh:property [ sh:path ex:status ; sh:reifierShape ex:From ; sh:reificationRequired true ] .", rows(O, "status", lit("o_orderstatus"), "ReifierShape", "FROM orders WHERE o_orderkey % 11 = 0"))
+
+
+def linked(spark: SparkSession, sf_dir: str) -> Graph:
+    """The turns of each conversation as a linked list of roles; that of every fifth conversation goes in a circle."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    w = t.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    last = t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    cell = lambda k: F.concat(F.lit(f"<{EX}cell/"), F.col("conv_id").cast("string"), F.lit("-"), k.cast("string"), F.lit(">"))
+    w = w.join(last, "conv_id")
+    end = F.when(F.col("conv_id") % 5 == 0, cell(F.lit(1))).otherwise(F.lit(NIL))
+    rows_ = [(FIRST, F.concat(F.lit('"'), F.col("role"), F.lit('"'))), (REST, F.when(F.col("rank") < F.col("n"), cell(F.col("rank") + 1)).otherwise(end))]
+    out = [w.select(cell(F.col("rank")).alias("s"), F.lit(p).alias("p"), k.alias("k")) for p, k in rows_]
+    head = last.select(F.concat(F.lit(f"<{EX}talk/"), F.col("conv_id").cast("string"), F.lit(">")).alias("s"), F.lit(f"<{EX}turns>").alias("p"), cell(F.lit(1)).alias("k"))
+    return TripleGraph.keys(out[0].unionByName(out[1]).unionByName(head))
+
+
+add("ls_linked", linked, "ex:S a sh:NodeShape ; sh:targetSubjectsOf ex:turns ; sh:property [ sh:path ex:turns ; sh:minListLength 4 ] .", rows(node("talk", "conv_id"), "turns", f"'<{EX}cell/' || conv_id || '-1>'", "MinListLength", "FROM (SELECT conv_id, count(DISTINCT turn) AS n FROM conversations GROUP BY 1) WHERE n < 4 OR conv_id % 5 = 0"))
+add("tg_overlap", "orders", "ex:S a sh:NodeShape ; sh:targetClass ex:Order ; sh:targetSubjectsOf ex:total ; sh:targetNode <http://ex/orders/1> ; sh:nodeKind sh:BlankNode .", rows(O, None, O, "NodeKind", "FROM orders"))
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes = load_shapes(PREFIXES + 'ex:S a sh:NodeShape ; sh:targetClass ex:Order ; sh:sparql [ sh:prefixes ex: ; sh:message "{?value} of {$this}" ; sh:select """SELECT $this ?value WHERE { $this ex:total ?value FILTER(?value < 3000) }""" ] .')
+    return validate(graph(spark, sf_dir, "orders"), shapes).select("focus_node", F.col("messages")[0].alias("message"))
+
+
+QUERIES["rs_messages"] = messages
+ORACLE_SQL["rs_messages"] = f"SELECT {O} AS focus_node, {V('o_totalprice')} || ' of ' || {OU} AS message FROM orders WHERE o_totalprice < 3000"
+
+
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severities and messages of single constraints, by annotations; an annotated one that is off."""
+    shapes = load_shapes(PREFIXES + "ex:S a sh:NodeShape ; sh:targetClass ex:Order ; sh:property [ sh:path ex:total ; sh:minInclusive 5000 {| sh:severity sh:Info ; sh:message 'low' |} ; sh:maxInclusive 400000 ; sh:minExclusive 1 {| sh:deactivated true |} ; sh:maxLength 3 {| sh:deactivated true |} ] .")
+    r = validate(graph(spark, sf_dir, "orders"), shapes)
+    return r.select("focus_node", "severity", F.array_join("messages", "|").alias("message"), F.regexp_extract("component", "#(.*)ConstraintComponent", 1).alias("component"))
+
+
+QUERIES["rs_annotations"] = annotated
+ORACLE_SQL["rs_annotations"] = f"SELECT {O} AS focus_node, '{report.sh('Info')}' AS severity, 'low' AS message, 'MinInclusive' AS component FROM orders WHERE o_totalprice < 5000 UNION ALL SELECT {O}, '{report.sh('Violation')}', '', 'MaxInclusive' FROM orders WHERE o_totalprice > 400000"
+rule("ru_untargeted", "nation", "ex:R a sh:NodeShape ; sh:rule [ a sh:TripleRule ; sh:subject sh:this ; sh:predicate ex:a ; sh:object 'x' ] . ex:Q a sh:NodeShape ; sh:targetClass ex:Nation ; sh:deactivated true ; sh:rule [ a sh:TripleRule ; sh:subject sh:this ; sh:predicate ex:b ; sh:object 'x' ] . ex:T a sh:NodeShape ; sh:targetClass ex:Nation ; sh:rule [ a sh:TripleRule ; sh:deactivated true ; sh:subject sh:this ; sh:predicate ex:c ; sh:object 'x' ] , [ a sh:TripleRule ; sh:subject sh:this ; sh:predicate ex:d ; sh:object 'x' ] .", spo(N, f"<{EX}d>", "'\"x\"'", "FROM nation"))
+entail("in_not_reflexive", [("A", SUBCLASS, "B"), ("B", SUBCLASS, "A")], "SELECT CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS p, CAST(NULL AS VARCHAR) AS o WHERE FALSE")
+QUERIES["src_objects"] = lambda spark, sf_dir: graph(spark, sf_dir, "nation").match(s=f"<{EX}nation/3>").select("s", "p", F.col("o.k").alias("o"))
+ORACLE_SQL["src_objects"] = f"SELECT * FROM ({NATION_TRIPLES}) WHERE s = '<{EX}nation/3>'"
+QUERIES["src_subjects"] = lambda spark, sf_dir: graph(spark, sf_dir, "nation").match(o=f"<{EX}region/2>").select("s", "p", F.col("o.k").alias("o"))
+ORACLE_SQL["src_subjects"] = f"SELECT * FROM ({NATION_TRIPLES}) WHERE o = '<{EX}region/2>'"

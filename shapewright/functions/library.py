@@ -6,6 +6,7 @@ All of them stay in the JVM; fields of a result are expressions, so what a query
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,10 +59,35 @@ def typed(text: Column, dt: Column, num: Column | None = None, dec: Column | Non
     return some(text, lambda v: term(k, F.lit("L"), v, dt, null(), null(), num if num is not None else null("double"), dec if dec is not None else null(DEC), ts if ts is not None else null("timestamp"), tz if tz is not None else null("boolean")))
 
 
+def let(values: list[Column], f: Callable[[list[Column]], Column]) -> Column:
+    """f of the values, each of which is written out and worked out once, however often f uses it."""
+    if not values:
+        return f([])
+    packed = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.get(F.transform(F.array(packed), lambda p: f([p.getField(f"v{i}") for i in range(len(values))])), F.lit(0))
+
+
+PLACES = "decimal(37,18)"  # two of these add up without losing a place
+ONE = Decimal(10) ** 18
+
+
+def whole_and_rest(x: Column) -> tuple[Column, Column]:
+    """The whole part of a decimal that isn't negative, and its 18 places as a number below one."""
+    whole = F.floor(x).try_cast("decimal(19,0)")
+    return whole, (x.try_cast(PLACES) - whole.cast(PLACES)).try_cast("decimal(18,18)")
+
+
+def units(x: Column) -> Column:
+    """A number of 18 places below one, in units of the last place."""
+    return (x * F.lit(ONE).cast("decimal(19,0)")).try_cast("decimal(18,0)")
+
+
 def decimal_text(dec: Column) -> Column:
     """A decimal in canonical form: 4.0, 0.5, -1.25."""
-    s = F.regexp_replace(F.regexp_replace(dec.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", ".0")
-    return F.when(s.contains("E"), F.lit("0.0")).when(s.contains("."), s).otherwise(F.concat(s, F.lit(".0")))
+    whole, rest = whole_and_rest(F.abs(dec))
+    places = F.regexp_replace(F.lpad(units(rest).cast("string"), 18, "0"), "0+$", "")
+    out = F.concat(F.when(dec < 0, "-").otherwise(""), whole.cast("string"), F.lit("."), F.when(places == "", "0").otherwise(places))
+    return F.coalesce(out, dec.cast("string"))  # 20 digits before the point
 
 
 def double_text(num: Column) -> Column:
@@ -130,9 +156,9 @@ def arithmetic(name: str, exact: Callable[[Column, Column], Column], rough: Call
             dt = F.when(dt == XSD + "integer", XSD + "decimal").otherwise(dt)
         ok = is_number(a) & is_number(b)
         x, y = of(a, "dec"), of(b, "dec")
-        dec = F.when(ok & dt.isin(XSD + "integer", XSD + "decimal"), exact(x, y))
+        dec = F.when(ok & dt.isin(XSD + "integer", XSD + "decimal"), let([x, y], lambda v: exact(*v)) if name in ("multiply", "divide") else exact(x, y))
         num = F.when(ok & dt.isin(XSD + "double", XSD + "float"), rough(of(a, "num"), of(b, "num")))
-        out = numeric(num, dec, dt)
+        out = let([num, dec, dt], lambda v: numeric(*v)) if name in ("multiply", "divide") else numeric(num, dec, dt)
         if dates and name in ("plus", "subtract"):
             out = F.coalesce(out, moved(a, b, name == "plus"), *([moved(b, a, True)] if name == "plus" else [between(a, b)]))
         return out
@@ -202,11 +228,65 @@ def cut18(x: Column) -> Column:
     return x.try_cast(DEC)
 
 
-arithmetic("plus", lambda x, y: cut18(F.try_add(x, y)), lambda x, y: x + y)
-arithmetic("subtract", lambda x, y: cut18(F.try_subtract(x, y)), lambda x, y: x - y)
-# integer parts up to 19 digits keep all 18 places; half-even at the last
-arithmetic("multiply", lambda x, y: cut18(F.coalesce(F.bround(F.try_multiply(x.try_cast("decimal(28,9)"), y.try_cast("decimal(28,9)")), 18).try_cast(DEC), F.try_multiply(x, y).try_cast(DEC))), lambda x, y: x * y)
-arithmetic("divide", lambda x, y: cut18(F.try_divide(x, F.when(y != 0, y.try_cast("decimal(20,10)")))), lambda x, y: F.when(y != 0, F.try_divide(x, y)).when(x == 0, float("nan")).when(x > 0, float("inf")).otherwise(float("-inf")))
+def product(x: Column, y: Column) -> Column:
+    """To 18 places, half to even. Whole parts have 19 digits at most; null beyond that."""
+    add = lambda a, b: F.try_add(a.try_cast(PLACES), b.try_cast(PLACES)).try_cast(PLACES)
+
+    def summed(v: list[Column]) -> Column:
+        p, r, q, t = v
+        small = F.try_multiply(r, t)  # 36 places, all of them
+        near = small.try_cast("decimal(19,18)")  # half up
+        total = add(add(F.try_multiply(p, q).try_cast("decimal(19,0)"), F.try_multiply(p, t)), add(F.try_multiply(q, r), near))
+        return let([total, F.try_subtract(small, near)], evened)
+
+    def evened(v: list[Column]) -> Column:
+        total, left = v
+        tie = left == F.lit(Decimal(-5).scaleb(-19)).cast("decimal(38,36)")
+        odd = units(whole_and_rest(total)[1]) % 2 == 1
+        return F.when(tie & odd, F.try_subtract(total, F.lit(Decimal(1).scaleb(-18)).cast(PLACES))).otherwise(total)
+
+    out = let([*whole_and_rest(F.abs(x)), *whole_and_rest(F.abs(y))], summed)
+    return let([out], lambda v: F.when((x < 0) != (y < 0), -v[0]).otherwise(v[0]).try_cast(DEC))
+
+
+def quotient(x: Column, y: Column) -> Column:
+    """To 18 places, half to even, by long division; null for a zero divisor and for whole parts of more than 19 digits."""
+    big = "decimal(38,0)"
+
+    def scaled(v: Column) -> Column:
+        whole, rest = whole_and_rest(F.abs(v))
+        return F.try_add(F.try_multiply(whole, F.lit(ONE).cast("decimal(19,0)")).try_cast(big), units(rest).cast(big)).try_cast(big)
+
+    def digits(pair: Column) -> Column:
+        n, d = pair.getField("n"), pair.getField("d")
+        start = F.struct(F.lit(0).cast("decimal(18,0)").alias("places"), F.try_mod(n, d).try_cast(big).alias("rest"))
+
+        def step(acc: Column, _: Column) -> Column:
+            more = F.try_multiply(acc.getField("rest"), F.lit(10).cast("decimal(2,0)")).try_cast(big)
+            rest = F.try_mod(more, d).try_cast(big)
+            digit = F.try_divide(F.try_subtract(more, rest).try_cast(big), d).try_cast("decimal(18,0)")
+            return F.struct((acc.getField("places") * F.lit(10).cast("decimal(2,0)") + digit).try_cast("decimal(18,0)").alias("places"), rest.alias("rest"))
+
+        def whole(acc: Column) -> Column:
+            rest, places = acc.getField("rest"), acc.getField("places")
+            twice = F.try_multiply(rest, F.lit(2).cast("decimal(1,0)")).try_cast(big)
+            up = F.when((twice > d) | ((twice == d) & (places % 2 == 1)), 1).otherwise(0).cast("decimal(19,0)")
+            head = F.try_divide(F.try_subtract(n, F.try_mod(n, d).try_cast(big)).try_cast(big), d).try_cast("decimal(19,0)")
+            tail = F.try_multiply((places.cast("decimal(19,0)") + up).try_cast("decimal(19,0)"), F.lit(Decimal(1).scaleb(-18)).cast("decimal(18,18)"))
+            return F.try_add(head.try_cast(PLACES), tail.try_cast(PLACES)).try_cast(DEC)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(18)), start, step, whole)
+
+    # the two are worked out once, and a zero divisor never gets to the steps
+    pairs = F.array(F.struct(scaled(x).alias("n"), F.when(y != 0, scaled(y)).alias("d")))
+    out = F.get(F.transform(F.filter(pairs, lambda p: p.getField("n").isNotNull() & p.getField("d").isNotNull()), digits), F.lit(0))
+    return F.when((x < 0) != (y < 0), -out).otherwise(out).try_cast(DEC)
+
+
+arithmetic("plus", lambda x, y: F.coalesce(F.try_add(x.try_cast(PLACES), y.try_cast(PLACES)).try_cast(DEC), cut18(F.try_add(x, y))), lambda x, y: x + y)
+arithmetic("subtract", lambda x, y: F.coalesce(F.try_subtract(x.try_cast(PLACES), y.try_cast(PLACES)).try_cast(DEC), cut18(F.try_subtract(x, y))), lambda x, y: x - y)
+arithmetic("multiply", lambda x, y: F.coalesce(product(x, y).try_cast(DEC), cut18(F.try_multiply(x, y))), lambda x, y: x * y)
+arithmetic("divide", quotient, lambda x, y: F.when(y != 0, F.try_divide(x, y)).when(x == 0, float("nan")).when(x > 0, float("inf")).otherwise(float("-inf")))
 
 
 @fn("unary-minus")

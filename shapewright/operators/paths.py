@@ -33,19 +33,30 @@ def pairs(graph: Graph, path: Path) -> DataFrame | None:
     return None
 
 
-def walk(graph: Graph, frame: DataFrame, keep: list[str], path: Path) -> DataFrame:
-    """frame has the columns `keep` and node (a key); the result has keep and o, each value once."""
+def to_one(graph: Graph, path: Path) -> bool:
+    """Whether pairs that differ before the step differ after it: a node it reaches is reached from one node only."""
+    return path.op == "inv" and path.args[0].op == "pred" and graph.table_of(path.args[0].args[0]) is not None
+
+
+def walk(graph: Graph, frame: DataFrame, keep: list[str], path: Path, once: bool = True) -> DataFrame:
+    """frame has the columns `keep` and node (a key), each pair once; the result has keep and o, each value once (or more often, if that is all the same)."""
     if path.op == "inv" and path.args[0].op != "pred":
         return walk(graph, frame, keep, inverse(path.args[0]))
     rel = pairs(graph, path)
     if rel is not None:
         return frame.join(rel, F.col("node") == F.col("s")).select(*keep, "o")
     if path.op == "seq":
+        apart = True  # each (keep, node) once so far
         for i, p in enumerate(path.args):
             out = walk(graph, frame, keep, p)
-            # a step may reach a node twice; what is joined next is a set
-            frame = out.select(*keep, F.col("o.k").alias("node")).distinct() if i + 1 < len(path.args) else out
-        return out.distinct()
+            last = i + 1 == len(path.args)
+            apart = apart and to_one(graph, p)
+            if not last:
+                # only keys travel on; a step that may reach a node twice is followed by a set
+                frame = out.select(*keep, F.col("o.k").alias("node"))
+                if not apart:
+                    frame, apart = frame.distinct(), True
+        return out if apart or not once else out.distinct()
     if path.op == "alt":
         return reduce(DataFrame.unionByName, [walk(graph, frame, keep, p) for p in path.args]).distinct()
     here = frame.select(*keep, term_of_key(F.col("node")).alias("o"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.xsd import escaped
 from ..plans.ir import DISALLOWED, Path
 from ..terms import FIRST, NIL, REST, TYPE, XSD, Triples, is_iri, literal, local, parts, sh
 from .validate import conforms
@@ -19,20 +20,60 @@ def disallowed_from(level: str) -> tuple[str, ...]:
     return tuple(sh(x) for x in LEVELS[LEVELS.index(name) :])
 
 
-def report_triples(results: DataFrame, disallowed: tuple[str, ...] = DISALLOWED) -> DataFrame:
-    """(s, p, o keys) of the report; paths that aren't predicates are left to `report_graph`."""
-    rid = F.concat(F.lit("_:r"), F.substring(F.sha2(F.to_json(F.struct(*[c for c in results.columns])), 256), 1, 24), F.lit("x"), F.monotonically_increasing_id().cast("string"))
-    rows = results.withColumn("_id", rid)
-    pairs = [(sh("focusNode"), F.col("focus_node")), (sh("value"), F.col("value")), (sh("resultPath"), F.when(F.col("path").startswith("<") & ~F.col("path").rlike("[|/^*+?](?![^<]*>)"), F.col("path"))), (sh("sourceConstraintComponent"), F.col("component")), (sh("resultSeverity"), F.col("severity")), (sh("sourceShape"), F.col("source_shape")), (sh("sourceConstraint"), F.col("source_constraint"))]
-    each = F.array(F.struct(F.lit(TYPE).alias("p"), F.lit(sh("ValidationResult")).alias("o")), *[F.struct(F.lit(p).alias("p"), o.cast("string").alias("o")) for p, o in pairs])
-    texts = F.transform("messages", lambda m: F.struct(F.lit(sh("resultMessage")).alias("p"), F.concat(F.lit('"'), m, F.lit('"')).alias("o")))
-    body = rows.select(F.col("_id").alias("s"), F.explode(F.concat(each, texts)).alias("x")).select("s", "x.p", "x.o").where("o is not null")
-    link = rows.select(F.lit("_:report").alias("s"), F.lit(sh("result")).alias("p"), F.col("_id").alias("o"))
+def report_triples(results: DataFrame, disallowed: tuple[str, ...] = DISALLOWED, shapes=None) -> DataFrame:
+    """(s, p, o keys) of the report, without a look at the driver; equal results are a node each.
+
+    Node names are made of what a result says, so they are the same whenever a part is worked out again. Compound paths
+    are written for each result if the shapes are given, as `report_graph` does; details are nodes with sh:detail.
+    """
+    fields = ["focus_node", "path", "value", "component", "severity", "source_shape", "source_constraint"]
+    whole = F.struct(*[F.col(c) for c in results.columns])
+    same = results.groupBy(F.sha2(F.to_json(whole), 256).alias("h")).agg(F.first(whole).alias("x"), F.count(F.lit(1)).alias("n"))
+    name = F.concat(F.lit("_:r"), F.substring("h", 1, 32), F.lit("n"), F.col("i").cast("string"))
+    rows = same.select("h", "x.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i")).select(name.alias("node"), *[F.col(c) for c in results.columns])
+    templates = {}
+    for s in shapes or ():
+        if s.path and s.path.op != "pred" and s.path.text() not in templates:
+            count = iter(range(1_000_000))
+            templates[s.path.text()] = path_triples(s.path, lambda: f"{{}}p{next(count)}")  # noqa: B023  names within a result
+
+    def own(text: str) -> Column:
+        return F.concat(F.col("node"), F.lit(text[2:])) if text.startswith("{}") else F.lit(text)
+
+    def triple(s_: Column, p_: str, o: Column) -> Column:
+        return F.struct(s_.alias("s"), F.lit(p_).alias("p"), o.cast("string").alias("o"))
+
+    def body(rows: DataFrame, link: str) -> DataFrame:
+        """The triples of rows (node, above, fields of a result)."""
+        node, get = F.col("node"), lambda c: F.col(c) if c in rows.columns else F.lit(None)
+        at = F.when(F.col("path").rlike("^<[^>]*>$"), F.col("path"))
+        for text, (head, _) in templates.items():
+            at = F.when(F.col("path") == text, own(head)).otherwise(at)
+        pairs = [("focusNode", get("focus_node")), ("value", get("value")), ("resultPath", at), ("sourceConstraintComponent", get("component")), ("resultSeverity", get("severity")), ("sourceShape", get("source_shape")), ("sourceConstraint", get("source_constraint"))]
+        each = F.array(triple(F.col("above"), link, node), triple(node, TYPE, F.lit(sh("ValidationResult"))), *[triple(node, sh(p_), o) for p_, o in pairs])
+        parts_ = [each]
+        if "messages" in rows.columns:
+            parts_.append(F.transform("messages", lambda m: triple(node, sh("resultMessage"), F.concat(F.lit('"'), escaped(m), F.lit('"')))))
+        none = F.array().cast("array<struct<s:string,p:string,o:string>>")
+        more = none
+        for text, (_, made) in templates.items():
+            more = F.when(F.col("path") == text, F.array(*[triple(own(x), p_, own(o)) for x, p_, o in made])).otherwise(more)
+        return rows.select(F.explode(F.concat(*[F.coalesce(x, none) for x in (*parts_, more)])).alias("x")).select("x.*").where("o is not null")
+
+    out = body(rows.withColumn("above", F.lit("_:report")), sh("result"))
+    if "details" in results.columns:
+        inner = rows.select("node", F.posexplode("details").alias("k", "d")).select(F.col("node").alias("above"), F.concat("node", F.lit("d"), F.col("k").cast("string")).alias("node"), *[F.col(f"d.{c}") for c in fields[:5]])
+        out = out.unionByName(body(inner, sh("detail")))
     ok = literal(str(conforms(results, disallowed)).lower(), XSD + "boolean")
     head = [("_:report", TYPE, sh("ValidationReport")), ("_:report", sh("conforms"), ok)]
     if tuple(disallowed) != tuple(DISALLOWED):
         head += [("_:report", sh("conformanceDisallows"), x) for x in disallowed]
-    return results.sparkSession.createDataFrame(head, "s string, p string, o string").unionByName(link).unionByName(body)
+    return results.sparkSession.createDataFrame(head, "s string, p string, o string").unionByName(out)
+
+
+def write_report(results: DataFrame, folder: str, disallowed: tuple[str, ...] = DISALLOWED, shapes=None) -> None:
+    """The report as N-Triples, written by the tasks: for results that the driver can't hold."""
+    report_triples(results, disallowed, shapes).select(F.concat_ws(" ", "s", "p", "o", F.lit("."))).write.mode("overwrite").text(folder)
 
 
 def path_triples(path: Path, fresh) -> tuple[str, list[tuple[str, str, str]]]:

@@ -37,6 +37,12 @@ class NestingError(ShapeError, RecursionError):
 class Frame:
     df: DataFrame  # rid, f, m
     table: str | None = None  # all rows of this table, each once
+    plain: bool = False  # f is the node rid names, each once, with m 1
+
+    def same(self, rid: str, key: str, rid2: str, key2: str) -> Column:
+        """Whether two rows are of one focus node of one root."""
+        on = F.col(rid) == F.col(rid2)
+        return on if self.plain else on & (F.col(key) == F.col(key2))
 
 
 def union(parts_: list[DataFrame]) -> DataFrame:
@@ -82,11 +88,11 @@ class Validator:
         for kind, x in shape.targets:
             if kind == "targetClass" and len(shape.targets) == 1 and isinstance(self.graph, TableGraph | UnionGraph) and SUBCLASS not in self.graph.predicates() and (t := self.graph.class_table(x)):
                 # the rows of a table, as they are: no join, no shuffle
-                return Frame(self.graph.subjects(t).select(F.col("s").alias("rid"), iri_term(F.col("s")).alias("f"), F.lit(1).cast("long").alias("m")), t)
+                return Frame(self.graph.subjects(t).select(F.col("s").alias("rid"), iri_term(F.col("s")).alias("f"), F.lit(1).cast("long").alias("m")), t, True)
             out.append(self.nodes_of(kind, x))
         if not out:
             return None
-        return Frame(union(out).distinct().select(F.col("o.k").alias("rid"), F.col("o").alias("f"), F.lit(1).cast("long").alias("m")))
+        return Frame(union(out).distinct().select(F.col("o.k").alias("rid"), F.col("o").alias("f"), F.lit(1).cast("long").alias("m")), None, True)
 
     def nodes_of(self, kind: str, x: str) -> DataFrame:
         g = self.graph
@@ -119,13 +125,17 @@ class Validator:
 
     # -- frames and values
 
-    def values(self, shape_path: Path, frame: Frame) -> DataFrame:
-        """(rid, f, m, v)"""
+    def values(self, shape_path: Path, frame: Frame, once: bool = True) -> DataFrame:
+        """(rid, f, m, v), each once unless that is all the same."""
         if shape_path.op == "pred" and frame.table and self.graph.table_of(shape_path.args[0]) == frame.table:
             rel = self.graph.rel(shape_path.args[0])
             return rel.select(F.col("s").alias("rid"), iri_term(F.col("s")).alias("f"), F.lit(1).cast("long").alias("m"), F.col("o").alias("v"))
+        if frame.table:
+            # only keys go through the joins; the term is made of the key again
+            out = walk(self.graph, frame.df.select("rid", F.col("rid").alias("node")), ["rid"], shape_path, once)
+            return out.select("rid", iri_term(F.col("rid")).alias("f"), F.lit(1).cast("long").alias("m"), F.col("o").alias("v"))
         df = frame.df.select("rid", "f", "m", F.col("f.k").alias("node"))
-        return walk(self.graph, df, ["rid", "f", "m"], shape_path).withColumnRenamed("o", "v")
+        return walk(self.graph, df, ["rid", "f", "m"], shape_path, once).withColumnRenamed("o", "v")
 
     def outer(self, shape_path: Path | None, frame: Frame) -> DataFrame | None:
         """As values, with null v for a focus without any; only for columns of the frame's own table."""
@@ -179,9 +189,25 @@ class Validator:
                     out += [c.value, *c.extra.get("siblings", [])]
                 elif c.kind in ("and", "or", "xone"):
                     out += c.value
+                elif c.kind in ("expression", "nodeByExpression"):
+                    out += self.named_in(c.value)
             self.below[node] = out
         return self.below[node]
 
+    def named_in(self, node: str) -> list[str]:
+        """The shapes that a node expression mentions: which of them it will ask for isn't known before."""
+        g, out, seen, todo = self.shapes.graph, [], set(), [node]
+        while todo:
+            x = todo.pop()
+            if x in seen or x.startswith('"'):
+                continue
+            seen.add(x)
+            if self.shapes.get(x) is not None:
+                out.append(x)
+            elif x.startswith("_:"):
+                todo += [o for _, o in g.s.get(x, [])]
+        return out
+
     def evaluate(self, shape: Shape, frame: Frame, seen: dict[str, DataFrame], depth: int, root: bool = False) -> list[DataFrame]:
         if shape.deactivated:
             return []
@@ -294,8 +320,8 @@ class Validator:
         return self.per_focus(frame, v, [F.count(F.lit(1)).alias("n")], {"n": 0})
 
     def per_focus(self, frame: Frame, v: DataFrame, aggs: list[Column], default: dict) -> DataFrame:
-        got = v.groupBy("rid", F.col("f.k").alias("fk")).agg(*aggs)
-        joined = frame.df.select("rid", "f", "m").join(got.withColumnRenamed("rid", "r2"), (F.col("rid") == F.col("r2")) & (F.col("f.k") == F.col("fk")), "left")
+        got = (v.groupBy("rid") if frame.plain else v.groupBy("rid", F.col("f.k").alias("fk"))).agg(*aggs)
+        joined = frame.df.select("rid", "f", "m").join(got.withColumnRenamed("rid", "r2"), frame.same("rid", "f.k", "r2", "fk"), "left")
         return joined.select("rid", "f", "m", *[F.coalesce(F.col(k), F.lit(x)).alias(k) for k, x in default.items()])
 
     def other(self, shape: Shape, c: Constraint, frame: Frame, v: DataFrame, seen: dict[str, DataFrame], depth: int) -> list[DataFrame]:
@@ -305,12 +331,12 @@ class Validator:
         if kind == "rootClass":
             return [R(v.join(self.subclasses(x), F.col("v.k") == F.col("c"), "left_anti"), shape, c, F.col("v.k"))]
         if kind in ("minCount", "maxCount"):
-            outer = self.outer(shape.path, frame)
+            outer = self.outer(shape.path, frame) if shape.values is None else None
             if outer is not None:  # a column has one value or none
                 n = F.when(F.col("v").isNotNull(), 1).otherwise(0)
                 return [R(outer.where(n < x if kind == "minCount" else n > x), shape, c)]
             if kind == "maxCount":
-                many = v.groupBy("rid", "f", "m").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > x)
+                many = v.groupBy("rid", *([] if frame.plain else ["f", "m"])).agg(*([F.first("f").alias("f"), F.first("m").alias("m")] if frame.plain else []), F.count(F.lit(1)).alias("n")).where(F.col("n") > x)
                 if x < 0:
                     many = self.counts(frame, v)
                 return [R(many, shape, c)]
@@ -318,17 +344,21 @@ class Validator:
                 return []
             if x == 1:
                 has = v.select(F.col("rid").alias("r2"), F.col("f.k").alias("fk"))
-                return [R(frame.df.join(has, (F.col("rid") == F.col("r2")) & (F.col("f.k") == F.col("fk")), "left_anti"), shape, c)]
+                return [R(frame.df.join(has, frame.same("rid", "f.k", "r2", "fk"), "left_anti"), shape, c)]
             return [R(self.counts(frame, v).where(F.col("n") < x), shape, c)]
         if kind == "hasValue":
+            outer = self.outer(shape.path, frame) if shape.values is None else None
+            if outer is not None:
+                return [R(outer.where(~F.coalesce(F.col("v.k") == x, F.lit(False))), shape, c)]
             has = v.where(F.col("v.k") == x).select(F.col("rid").alias("r2"), F.col("f.k").alias("fk"))
-            return [R(frame.df.join(has, (F.col("rid") == F.col("r2")) & (F.col("f.k") == F.col("fk")), "left_anti"), shape, c)]
+            return [R(frame.df.join(has, frame.same("rid", "f.k", "r2", "fk"), "left_anti"), shape, c)]
         if kind == "uniqueLang":
             tags = v.where("v.lang is not null").groupBy("rid", "f", "m", F.col("v.lang").alias("lang"), F.col("v.dir").alias("dir")).count()
             return [R(tags.where("count > 1"), shape, c)]
         if kind in ("equals", "disjoint", "subsetOf"):
-            w = self.values(x, frame).select(F.col("rid").alias("r2"), F.col("f.k").alias("f2"), F.col("v.k").alias("v2"), "f", "m", F.col("v").alias("w"))
-            same = (F.col("rid") == F.col("r2")) & (F.col("fk") == F.col("f2")) & (F.col("vk") == F.col("v2"))
+            # sides that are only looked up may repeat values
+            w = self.values(x, frame, kind == "equals").select(F.col("rid").alias("r2"), F.col("f.k").alias("f2"), F.col("v.k").alias("v2"), "f", "m", F.col("v").alias("w"))
+            same = frame.same("rid", "fk", "r2", "f2") & (F.col("vk") == F.col("v2"))
             left = v.select("rid", "f", "m", "v", F.col("f.k").alias("fk"), F.col("v.k").alias("vk"))
             right = w.select("r2", "f2", "v2")
             if kind == "disjoint":
@@ -341,16 +371,26 @@ class Validator:
         if kind in ("lessThan", "lessThanOrEquals"):
             w = self.values(x, frame).select(F.col("rid").alias("r2"), F.col("f.k").alias("f2"), F.col("v").alias("w"))
             ok = F.coalesce(compare(F.col("v"), F.col("w"), "<" if kind == "lessThan" else "<="), F.lit(False))
+            if frame.plain:
+                return [R(v.join(w, F.col("rid") == F.col("r2")).where(~ok), shape, c, F.col("v.k"))]
             return [R(v.join(w, (F.col("rid") == F.col("r2")) & (F.col("f.k") == F.col("f2"))).where(~ok), shape, c, F.col("v.k"))]
         if kind == "uniqueValuesFor":
-            keys = frame.df
-            for i, p in enumerate(x):
-                got = self.values(p, frame).groupBy(F.col("rid").alias(f"r{i}"), F.col("f.k").alias(f"f{i}")).agg(F.array_sort(F.collect_set("v.k")).alias(f"k{i}"))
-                keys = keys.join(got, (F.col("rid") == F.col(f"r{i}")) & (F.col("f.k") == F.col(f"f{i}")))
-            names = [f"k{i}" for i in range(len(x))]
-            rows = keys.select("rid", "f", "m", *names)
+            if frame.table and all(p.op == "pred" and self.graph.table_of(p.args[0]) == frame.table for p in x):
+                # columns of the frame's own table: one value each, all on the row
+                rows, names = self.graph.columns(frame.table, [p.args[0] for p in x]), [f"k{i}" for i in range(len(x))]
+                rows = rows.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in names])).select(F.col("s").alias("rid"), *names)
+            else:
+                rows = frame.df
+                for i, p in enumerate(x):
+                    got = self.values(p, frame).groupBy(F.col("rid").alias(f"r{i}"), F.col("f.k").alias(f"f{i}")).agg(F.array_sort(F.collect_set("v.k")).alias(f"k{i}"))
+                    rows = rows.join(got, frame.same("rid", "f.k", f"r{i}", f"f{i}"))
+                names = [f"k{i}" for i in range(len(x))]
+                rows = rows.select("rid", "f", "m", *names)
             twice = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(k).alias("d" + k) for k in names])
-            return [R(rows.join(twice, reduce(lambda a, b: a & b, [F.col(k) == F.col("d" + k) for k in names]), "left_semi"), shape, c, F.col("f.k"))]
+            hit = rows.join(twice, reduce(lambda a, b: a & b, [F.col(k) == F.col("d" + k) for k in names]), "left_semi")
+            if "f" not in hit.columns:
+                hit = hit.select("rid", iri_term(F.col("rid")).alias("f"), F.lit(1).cast("long").alias("m"))
+            return [R(hit, shape, c)]
         if kind == "closed":
             return [self.closed(shape, c, frame, v)]
         if kind in ("not", "node", "and", "or", "xone"):
@@ -359,7 +399,7 @@ class Validator:
             return self.nested(x, v, seen, depth)
         if kind == "someValue":
             good = self.conforming(x, v, seen, depth).select(F.col("rid").alias("r2"), F.col("f.k").alias("fk"))
-            return [R(frame.df.join(good, (F.col("rid") == F.col("r2")) & (F.col("f.k") == F.col("fk")), "left_anti"), shape, c)]
+            return [R(frame.df.join(good, frame.same("rid", "f.k", "r2", "fk"), "left_anti"), shape, c)]
         if kind in ("qualifiedMin", "qualifiedMax"):
             good = self.conforming(x, v, seen, depth)
             for sib in c.extra["siblings"]:
@@ -482,7 +522,9 @@ class Validator:
         detail = lambda focus, value, component: F.struct(focus.alias("focus_node"), F.lit(None).cast("string").alias("path"), value.alias("value"), F.lit(component).alias("component"), F.lit(c.severity or shape.severity).alias("severity"))
         if c.kind == "uniqueMembers":
             keys = F.transform("members", lambda x: x.getField("k"))
-            twice = F.array_distinct(F.filter(keys, lambda k: F.size(F.filter(keys, lambda j: j == k)) > 1))
+            # equal members stand together when sorted
+            ordered = F.array_sort(keys)
+            twice = F.array_distinct(F.filter(F.transform(ordered, lambda k, i: F.when((i > 0) & (F.get(ordered, i - 1) == k), k)), lambda k: k.isNotNull()))
             rows = rows.withColumn("twice", twice).where(F.col("members").isNull() | (F.size("twice") > 0))
             details = F.transform("twice", lambda k: detail(F.col("v.k"), k, c.component))
             return self.results(rows, shape, c, F.col("v.k"), details=details)
@@ -507,7 +549,9 @@ class Validator:
             return [self.results(rows.join(rel, F.col("own") == F.col("claim"), "left_anti"), shape, c, F.col("v.k"))]
         got = rows.join(rel, F.col("own") == F.col("claim")).withColumn("r", node_term(F.col("reifier")))
         bad = self.fails(c.value, got.select(F.col("r").alias("v")), seen, depth)
-        return [self.results(got.join(bad, F.col("reifier") == F.col("bad"), "left_semi"), shape, c, F.col("reifier"))]
+        # a reifier that fails faults the value whose statement it is of, once
+        faulty = got.join(bad, F.col("reifier") == F.col("bad"), "left_semi").select(F.col("claim").alias("faulty"))
+        return [self.results(rows.join(faulty, F.col("own") == F.col("faulty"), "left_semi"), shape, c, F.col("v.k"))]
 
 
 def expand(found: list[DataFrame], validator: Validator) -> DataFrame:
@@ -521,8 +565,8 @@ def expand(found: list[DataFrame], validator: Validator) -> DataFrame:
 def validate(graph: Graph, shapes: Shapes, max_results: int | None = None, disallowed: tuple[str, ...] = DISALLOWED) -> DataFrame:
     """Results of all shapes with targets, and of those that data nodes name by sh:shape.
 
-    With max_results, shapes are run one after the other until so many results with a disallowed severity are found,
-    and what lies past the last of them is cut off.
+    With max_results, shapes are run one after the other until so many results with a disallowed severity are found;
+    of the shape that reaches the number, results of other severities that sort after the last of them are cut off, too.
     """
     v = Validator(graph, shapes)
 
@@ -543,10 +587,16 @@ def validate(graph: Graph, shapes: Shapes, max_results: int | None = None, disal
             continue
         df = expand(found, v)
         if max_results is not None:
-            df = cut(df.orderBy("focus_node", "path", "value", "component"))
-            rank = df.where(F.col("severity").isin(*disallowed)).limit(max_results - blocking)
+            df = cut(df)
+            order = [F.coalesce(F.col(x), F.lit("")) for x in ("focus_node", "path", "value", "component")]
+            counts = F.col("severity").isin(*disallowed)
+            rank = cut(df.where(counts).orderBy(*order).limit(max_results - blocking))
             n = rank.count()
-            rest = df.where(~F.col("severity").isin(*disallowed))
+            rest = df.where(~counts)
+            if blocking + n >= max_results:
+                key = F.struct(*[x.alias(f"x{i}") for i, x in enumerate(order)])
+                last = rank.agg(F.max(key).alias("last"))
+                rest = rest.join(F.broadcast(last), key <= F.col("last"), "left_semi")
             parts_.append(rank.unionByName(rest))
             blocking += n
             if blocking >= max_results:

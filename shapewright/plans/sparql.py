@@ -8,13 +8,14 @@ starts from the seed and keeps its columns, so grouping, ordering and limits hol
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.library import call, ebv, equal, integer, numeric, string, text
+from ..functions.library import call, ebv, equal, integer, let, numeric, quotient, string, text
 from ..functions.xsd import DEC, NUMERIC, TERM, constant
 from ..operators.paths import walk
 from ..sources.graph import Graph
@@ -501,6 +502,16 @@ def aggregates(e) -> list[tuple]:
     return []
 
 
+class Solution:
+    """Variables and what they are bound to, where there is no frame yet that has them as columns."""
+
+    def __init__(self, bound: dict[str, Column]):
+        self.bound, self.columns = bound, list(bound)
+
+    def value(self, name: str) -> Column:
+        return self.bound[name]
+
+
 class Engine:
     def __init__(self, graph: Graph, shapes_graph: Graph | None = None, seed: DataFrame | None = None):
         self.graph, self.shapes_graph, self.seed = graph, shapes_graph, seed
@@ -508,12 +519,14 @@ class Engine:
         self.spark = graph.spark
         self.fresh = 0
 
-    def one(self) -> DataFrame:
+    @cached_property
+    def unit(self) -> DataFrame:
+        """A single empty solution."""
         return self.spark.range(1).select(F.lit(1).alias("_one"))
 
     def start(self, part) -> DataFrame:
         """Where a scope begins: the seed if it uses any of its variables, else a single empty solution."""
-        return self.seed if self.seed is not None and mentions(part, self.bound) else self.one()
+        return self.seed if self.seed is not None and mentions(part, self.bound) else self.unit
 
     # -- patterns
 
@@ -555,20 +568,25 @@ class Engine:
     def vars_of(self, df: DataFrame) -> list[str]:
         return [c for c in df.columns if c != "_one"]
 
-    def join(self, a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
-        """Joins solutions on the variables of both; an unbound one agrees with anything."""
+    def join(self, a: DataFrame, b: DataFrame, how: str = "inner", conditions: Sequence[tuple] = ()) -> DataFrame:
+        """Joins solutions on the variables of both; an unbound one agrees with anything. Conditions see both sides."""
+        if a is self.unit and how == "inner" and not conditions and self.vars_of(b):
+            return b.withColumn("_one", F.lit(1)) if "_one" not in b.columns else b
         shared = [c for c in self.vars_of(a) if c in self.vars_of(b)]
         self.fresh += 1
         r = b.drop("_one").select(*[F.col(f"`{c}`").alias(f"{c}__{self.fresh}" if c in shared else c) for c in self.vars_of(b)])
         if not self.vars_of(b):
             # nothing to bind: whether there is a solution at all
-            return a.join(b.select(F.lit(1).alias(f"_e{self.fresh}")), how="left" if how == "left" else "inner").drop(f"_e{self.fresh}")
+            r = b.select(F.lit(1).alias(f"_e{self.fresh}"))
         on = F.lit(True)
         for c in shared:
             x, y = F.col(f"`{c}`.k"), F.col(f"`{c}__{self.fresh}`.k")
             on = on & (x == y if c in self.bound and c in self.sure(a) and c in self.sure(b) or c not in self.maybe else (x == y) | x.isNull() | y.isNull())
+        both = {c: F.coalesce(F.col(f"`{c}`"), F.col(f"`{c}__{self.fresh}`")) if c in shared and c in self.maybe else F.col(f"`{c}`") for c in [*a.columns, *[c for c in r.columns if not c.endswith(f"__{self.fresh}")]]}
+        for e in conditions:
+            on = on & F.coalesce(ebv(self.expr(e, Solution(both))), F.lit(False))
         out = a.join(r, on, how)
-        return out.select(*[F.coalesce(F.col(f"`{c}`"), F.col(f"`{c}__{self.fresh}`")).alias(c) if c in shared and c in self.maybe else F.col(f"`{c}`") for c in [*a.columns, *[c for c in r.columns if not c.endswith(f"__{self.fresh}")]]])
+        return out.select(*[v.alias(c) for c, v in both.items() if not c.startswith("_e")])
 
     maybe: set[str] = set()
 
@@ -579,23 +597,12 @@ class Engine:
         conditions = [p[1] for p in node[1] if p[0] == "filter"]
         inner = ("group", [p for p in node[1] if p[0] != "filter"])
         right = self.group(inner, graph, self.seed if self.seed is not None and mentions(node, self.bound) else None)
-        shared = [c for c in self.vars_of(df) if c in self.vars_of(right)]
-        new = [c for c in self.vars_of(right) if c not in shared]
-        if conditions:
-            plain = [c for c in conditions if not self.exists_in(c)]
-            for e in conditions:
-                if self.exists_in(e):
-                    right = self.filter(right, e, graph)
-            if plain:
-                # the filter sees both sides
-                df = df.withColumn("_row", F.monotonically_increasing_id())
-                hit = self.join(df, right)
-                for e in plain:
-                    hit = self.filter(hit, e, graph)
-                rest = df.join(hit.select(F.col("_row").alias("_r")).distinct(), F.col("_row") == F.col("_r"), "left_anti")
-                self.maybe = self.maybe | set(new)
-                return hit.drop("_row").unionByName(rest.drop("_row"), allowMissingColumns=True)
-        out = self.join(df, right, "left")
+        new = [c for c in self.vars_of(right) if c not in self.vars_of(df)]
+        for e in conditions:
+            if self.exists_in(e):
+                right = self.filter(right, e, graph)
+        # other filters see both sides: they are conditions of the join
+        out = self.join(df, right, "left", [e for e in conditions if not self.exists_in(e)])
         self.maybe = self.maybe | set(new)
         return out
 
@@ -631,12 +638,11 @@ class Engine:
         if not self.exists_in(e):
             return df, e
         if e[0] == "exists":
+            # both answers, each a join by content: no row ids, which may differ when a task is run again
             self.fresh += 1
-            row, flag = f"_row{self.fresh}", f"_flag{self.fresh}"
-            df = df.withColumn(row, F.monotonically_increasing_id())
-            hit = self.exists(df, e, graph).select(F.col(row).alias(flag))
-            df = df.join(hit, F.col(row) == F.col(flag), "left")
-            return df.withColumn(flag, call("bound", [F.when(F.col(flag).isNotNull(), constant('"1"'))])).drop(row), ("var", flag)
+            flag = f"_flag{self.fresh}"
+            answers = [self.exists(df, ("exists", e[1] == yes, e[2]), graph).withColumn(flag, constant(literal(str(yes).lower(), XSD + "boolean"))) for yes in (True, False)]
+            return answers[0].unionByName(answers[1]), ("var", flag)
         out = []
         for x in e:
             if isinstance(x, tuple):
@@ -694,7 +700,7 @@ class Engine:
                 on = on & (add[x[1]].getField("k") == key)
             else:
                 add[x[1]] = value
-        out = df.join(rel, on)
+        out = rel.withColumn("_one", F.lit(1)) if df is self.unit else df.join(rel, on)
         return out.select(*[add.pop(c).alias(c) if c in add else F.col(f"`{c}`") for c in df.columns], *[v.alias(c) for c, v in list(add.items())])
 
     def path(self, df: DataFrame, s: tuple, p: Path, o: tuple, graph: Graph) -> DataFrame:
@@ -726,16 +732,17 @@ class Engine:
             pairs = pairs.where(F.col("_to.k") == F.col("_from"))
         else:
             add[o[1]] = F.col("_to")
-        return df.join(pairs, on).select(*[F.col(f"`{c}`") for c in df.columns], *[v.alias(c) for c, v in add.items()])
+        out = pairs.withColumn("_one", F.lit(1)) if df is self.unit else df.join(pairs, on)
+        return out.select(*[F.col(f"`{c}`") for c in df.columns], *[v.alias(c) for c, v in add.items()])
 
     # -- expressions
 
-    def expr(self, e: tuple, df: DataFrame) -> Column:
+    def expr(self, e: tuple, df: DataFrame | Solution) -> Column:
         kind = e[0]
         if kind == "term":
             return constant(e[1])
         if kind == "var":
-            return F.col(f"`{e[1]}`") if e[1] in df.columns else F.lit(None).cast(TERM)
+            return df.value(e[1]) if isinstance(df, Solution) and e[1] in df.columns else F.col(f"`{e[1]}`") if e[1] in df.columns else F.lit(None).cast(TERM)
         if kind == "in":
             x = self.expr(e[1], df)
             out = F.lit(False)
@@ -832,7 +839,7 @@ class Engine:
             ok = c.getField("good") == n
             dt = F.when(rank == 3, XSD + "double").when(rank == 2, XSD + "decimal").otherwise(XSD + ("integer" if kind == "sum" else "decimal"))
             if kind == "avg":
-                num, dec = num / n, F.try_divide(dec.cast("decimal(30,10)"), n.cast("decimal(10,0)"))
+                num, dec = num / n, quotient(dec, F.when(n > 0, n).cast(DEC))
             return F.when(n == 0, constant(literal("0", XSD + "integer"))).when(ok, numeric(num, dec.try_cast(DEC), dt))
         if kind == "group_concat":
             return string(F.coalesce(c, F.lit("")))
@@ -855,14 +862,21 @@ class Engine:
         for v in names:
             if v not in df.columns:
                 df = df.withColumn(v, F.lit(None).cast(TERM))
-        order = []
+        order, keys = [], []
         for down, e in q.order:
             x = self.expr(e, df)
             for f in ("num", "ts", "lex"):
                 y = x.getField(f)
+                keys.append(y)
                 order.append(y.desc_nulls_last() if down else y.asc_nulls_first())
-        if q.distinct:
-            df = df.select(*[F.col(f"`{v}`") for v in names]).distinct() if not order else df
+        if q.distinct and not order:
+            df = df.select(*[F.col(f"`{v}`") for v in names]).distinct()
+        elif q.distinct:
+            # a solution stands where the first of its equals would
+            named = [(f"_o{i}", y, q.order[i // 3][0]) for i, y in enumerate(keys)]
+            df = df.select(*[F.col(f"`{v}`") for v in names], *[y.alias(n) for n, y, _ in named])
+            df = df.groupBy(*[F.col(f"`{v}`") for v in names]).agg(*[(F.max if down else F.min)(n).alias(n) for n, _, down in named])
+            order = [F.col(n).desc_nulls_last() if down else F.col(n).asc_nulls_first() for n, _, down in named]
         if q.limit is not None or q.offset:
             order = order or [F.lit(0)]
             w = Window.partitionBy(*([F.col(f"`{c}`.k") for c in carried] or [F.lit(0)])).orderBy(*order)
@@ -886,14 +900,6 @@ class Engine:
         return (out if out is not None else self.graph.triples().limit(0)).distinct()
 
 
-def let(values: list[Column], f: Callable[[list[Column]], Column]) -> Column:
-    """f of the values, each of which is written out and worked out once, however often f uses it."""
-    if not values:
-        return f([])
-    packed = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
-    return F.get(F.transform(F.array(packed), lambda p: f([p.getField(f"v{i}") for i in range(len(values))])), F.lit(0))
-
-
 def term_blank(name: str, df: DataFrame) -> Column:
     """A blank node of a template: one for each solution."""
     from ..functions.xsd import node_term

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import sys
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.xsd import TERM, iri_term, lang_term, literal_term, node_term, term_of_key, term_row
-from ..terms import FIRST, NIL, REST, TYPE, XSD, iri
+from ..terms import FIRST, NIL, REST, TYPE, XSD, ParseError, iri
 from .rdf import base_of, format_of, parse, read, statements
 
 EMPTY = "s string, o " + TERM.simpleString()
@@ -26,7 +27,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and goes on from there."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("a cluster has to name a shared folder in spark.checkpoint.dir")
+        sc.setCheckpointDir(folder or "/tmp/checkpoints")
     return df.checkpoint(eager=True)
 
 
@@ -74,14 +78,21 @@ class Graph:
         one = first.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.first("o").alias("o")).where("n = 1").select(F.col("s").alias("fs"), "o")
         nxt = rest.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.first("o.k").alias("to")).where("n = 1").select(F.col("s").alias("rs"), "to")
         cells = cut(one.join(nxt, F.col("fs") == F.col("rs")).select(F.col("fs").alias("cell"), "o", "to"))
-        walk = cut(heads.select("k").distinct().select("k", F.col("k").alias("at"), F.array().cast(f"array<{TERM.simpleString()}>").alias("members"), F.array().cast("array<string>").alias("seen")))
+        # strides: what comes after a cell, up to 64 members at once
+        stride = cells.select("cell", F.array("o").alias("part"), "to")
+        for _ in range(6):
+            more = stride.select(F.col("cell").alias("c2"), F.col("part").alias("p2"), F.col("to").alias("t2"))
+            stride = cut(stride.join(more, F.col("to") == F.col("c2"), "left").select("cell", F.when(F.col("p2").isNull(), F.col("part")).otherwise(F.concat("part", "p2")).alias("part"), F.coalesce("t2", "to").alias("to")))
+        longest = cells.count()
+        walk = cut(heads.select("k").distinct().select("k", F.col("k").alias("at"), F.array().cast(f"array<{TERM.simpleString()}>").alias("members")))
         done = []
-        for _ in range(100_000):
+        while True:
             done.append(walk.where(F.col("at") == NIL).select("k", "members"))
+            # a list longer than all cells there are goes in a circle
             walk = cut(
-                walk.where((F.col("at") != NIL) & ~F.array_contains("seen", F.col("at")))
-                .join(cells, F.col("at") == F.col("cell"))
-                .select("k", F.col("to").alias("at"), F.concat("members", F.array("o")).alias("members"), F.concat("seen", F.array("cell")).alias("seen"))
+                walk.where((F.col("at") != NIL) & (F.size("members") <= longest))
+                .join(stride, F.col("at") == F.col("cell"))
+                .select("k", F.col("to").alias("at"), F.concat("members", "part").alias("members"))
             )
             if walk.isEmpty():
                 break
@@ -162,6 +173,11 @@ class TableGraph(Graph):
         t = self.by[p][0]
         return t.df.select(t.key().alias("s"), F.when(F.col(t.columns[p][0]).isNotNull(), t.object(p)).alias("o"))
 
+    def columns(self, table: str, predicates: list[str]) -> DataFrame:
+        """(s, k0, k1, ...) the keys of the values of some columns of a table, null where there is none."""
+        t = self.tables[table]
+        return t.df.select(t.key().alias("s"), *[F.when(F.col(t.columns[p][0]).isNotNull(), t.object(p).getField("k")).alias(f"k{i}") for i, p in enumerate(predicates)])
+
     def class_table(self, c: str) -> str | None:
         """The table whose rows are all the instances of a class, if no other row is."""
         if any(t.class_column for t in self.tables.values()):
@@ -245,6 +261,9 @@ class UnionGraph(Graph):
         own = [g for g in self.graphs if TYPE in g.predicates()]
         return own[0].class_table(c) if len(own) == 1 and isinstance(own[0], TableGraph) else None
 
+    def columns(self, table: str, predicates: list[str]) -> DataFrame:
+        return next(g for g in self.graphs if isinstance(g, TableGraph) and table in g.tables).columns(table, predicates)
+
     def subjects(self, table: str) -> DataFrame:
         return next(g for g in self.graphs if isinstance(g, TableGraph) and table in g.tables).subjects(table)
 
@@ -256,32 +275,48 @@ class UnionGraph(Graph):
         return (own[0] if own else self.graphs[0]).lists(heads)
 
 
+BAD_LINE = "not an N-Triples or N-Quads statement"
 NT = r"^\s*(<[^>]*>|_:[^\s]+)\s+(<[^>]*>)\s+(<<\(.*\)>>|<[^>]*>|_:[^\s]+|\"(?:[^\"\\]|\\.)*\"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)\s*(?:<[^>]*>|_:[^\s]+)?\s*\.\s*(?:#.*)?$"
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> TripleGraph:
-    """N-Triples or N-Quads, one statement a line, read in parallel; .gz too. Blank labels are kept apart by file."""
-    lines = spark.read.text(path).where(F.col("value").rlike(NT))
-    scope = F.substring(F.sha2(F.input_file_name(), 256), 1, 8)
+    """N-Triples or N-Quads, one statement a line, read in parallel; .gz too. Blank labels are kept apart by file.
+
+    A line that is neither a statement nor a comment nor blank fails the job that reads it.
+    """
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    good = F.col("value").rlike(NT)
+    lines = lines.select(F.when(good, F.col("value")).otherwise(F.raise_error(F.concat(F.lit(BAD_LINE + ": "), F.substring("value", 1, 200)))).alias("value"), F.input_file_name().alias("file"))
+    scope = F.substring(F.sha2("file", 256), 1, 8)
     own = lambda c: F.when(c.startswith("_:"), F.concat(F.lit("_:"), scope, F.substring(c, F.lit(3), F.length(c)))).otherwise(c)
     s, p, o = (F.regexp_extract("value", NT, i) for i in (1, 2, 3))
     o = F.when(o.endswith(f"^^<{XSD}string>"), F.regexp_replace(o, r"\^\^<[^>]*>$", "")).otherwise(o)
     return TripleGraph.keys(lines.select(own(s).alias("s"), p.alias("p"), own(o).alias("k")))
 
 
-def read_documents(spark: SparkSession, paths: list[str], syntax: str | None = None, parts: int = 8, large: int = 1 << 20) -> TripleGraph:
-    """One graph of many documents of any syntax; large Turtle is cut at statements and parsed by many tasks."""
+def read_documents(spark: SparkSession, paths: list[str], syntax: str | None = None, large: int = 1 << 20) -> TripleGraph:
+    """One graph of many documents of any syntax; large Turtle is cut at statements, a megabyte a part, and parsed by many tasks.
+
+    "-" is the standard input, once; its syntax has to be given.
+    """
     from .rdf import Turtle
 
     out: list[DataFrame] = []
     small: list[tuple[str, str, str]] = []
+    if paths.count("-") > 1:
+        raise ParseError("the standard input can be read once")
     for i, path in enumerate(paths):
+        if path == "-" and not syntax:
+            raise ParseError("the syntax of the standard input has to be given")
         kind = syntax or format_of(path)
+        if path == "-":
+            small += parse(sys.stdin.read(), kind, "", f"d{i}")
+            continue
         if kind in ("ntriples", "nquads"):
             out.append(read_lines(spark, path).df)
             continue
         text = read(path)
-        cuts = statements(text, parts) if kind == "turtle" and len(text) >= large else None
+        cuts = statements(text, len(text) // large + 1) if kind == "turtle" and len(text) >= large else None
         if not cuts:
             small += parse(text, kind or "", base_of(path), f"d{i}")
             continue

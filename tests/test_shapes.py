@@ -10,10 +10,10 @@ PRE = "@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix : <http://e/> . @pref
 
 
 def test_one_shot(spark):
-    r = validate(spark, PRE + ":a a :P ; :age 200 . :b a :P ; :age 7 .", PRE + ":S a sh:NodeShape ; sh:targetClass :P ; sh:property [ sh:path :age ; sh:maxInclusive 150 ; sh:message 'too old' ] .")
+    r = validate(spark, PRE + ":a a :P ; :height 412 . :b a :P ; :height 171 .", PRE + ":S a sh:NodeShape ; sh:targetClass :P ; sh:property [ sh:path :height ; sh:maxInclusive 260 ; sh:message 'too tall' ] .")
     assert not r.conforms and len(r) == 1
     row = r.results[0]
-    assert row.focus_node == "<http://e/a>" and row.messages == ["too old"]
+    assert row.focus_node == "<http://e/a>" and row.messages == ["too tall"]
     assert "sh" not in r.text.split("\n")[0] and "conforms: false" in r.text
     for syntax in ("turtle", "rdfxml", "jsonld"):
         assert "http://e/a" in r.serialize(syntax)
@@ -68,3 +68,65 @@ def test_many_names_in_data(spark):
 def test_all_predicates(spark):
     g = TripleGraph(spark.range(100_001).select(F.lit("<http://e/s>").alias("s"), F.concat(F.lit("<http://e/p"), "id", F.lit(">")).alias("p"), term_of_key(F.lit("<http://e/o>")).alias("o")))
     assert len(g.predicates()) == 100_001
+
+
+def test_malformed_lines_fail(spark, tmp_path):
+    from shapewright.__main__ import main
+
+    p = tmp_path / "d.nt"
+    p.write_text("<http://e/a> <http://e/p> <http://e/b> .\n# a comment\n\nthis is no statement\n")
+    shapes = tmp_path / "s.ttl"
+    shapes.write_text(PRE + ":S a sh:NodeShape ; sh:targetSubjectsOf :p ; sh:nodeKind sh:IRI .")
+    assert main(["-d", str(p), "-s", str(shapes), "-q"]) == 2
+    p.write_text("<http://e/a> <http://e/p> <http://e/b> .\n# a comment\n")
+    assert main(["-d", str(p), "-s", str(shapes), "-q"]) == 0
+
+
+def test_several_shapes_files_and_meta_shapes(spark, tmp_path):
+    from shapewright.__main__ import main
+
+    files = {}
+    for name, text in (
+        ("data", ":a :p 5 ; :q 7 ."),
+        ("one", ":S a sh:NodeShape ; sh:targetSubjectsOf :p ; sh:property [ sh:path :p ; sh:maxInclusive 9 ] ."),
+        ("two", ":T a sh:NodeShape ; sh:targetSubjectsOf :q ; sh:property [ sh:path :q ; sh:maxInclusive 6 ] ."),
+        ("flawed", ":U a sh:NodeShape ; sh:targetSubjectsOf :q ; sh:property [ sh:minCount 'x' ] ."),
+    ):
+        f = tmp_path / f"{name}.ttl"
+        f.write_text(PRE + text)
+        files[name] = str(f)
+    assert main(["-d", files["data"], "-s", files["one"], "-q", "-m"]) == 0
+    assert main(["-d", files["data"], "-s", files["one"], "-s", files["two"], "-q"]) == 1
+    assert main(["-d", files["data"], "-s", files["flawed"], "-q", "-m"]) == 2
+
+
+def test_standard_input(spark, tmp_path, monkeypatch):
+    import io
+
+    from shapewright.__main__ import main
+
+    shapes = tmp_path / "s.ttl"
+    shapes.write_text(PRE + ":S a sh:NodeShape ; sh:targetSubjectsOf :p ; sh:property [ sh:path :p ; sh:maxInclusive 9 ] .")
+    monkeypatch.setattr("sys.stdin", io.StringIO(PRE + ":a :p 12 ."))
+    assert main(["-d", "-", "-df", "turtle", "-s", str(shapes), "-q"]) == 1
+    assert main(["-d", "-", "-s", str(shapes), "-q"]) == 2
+
+
+def test_report_as_triples(spark):
+    s = Shapes.from_turtle(spark, PRE + ":S a sh:NodeShape ; sh:targetSubjectsOf :p ; sh:property [ sh:path ( :p :q ) ; sh:maxInclusive 9 ; sh:message 'say \"hi\"\\nnow' ] .")
+    r = s.validate_turtle(PRE + ":a :p :b . :b :q 10 , 11 .")
+    from shapewright.operators.report import report_triples
+
+    rows = {(x.s, x.p, x.o) for x in report_triples(r.results_df, shapes=s.compiled).collect()}
+    sh = "<http://www.w3.org/ns/shacl#"
+    assert sum(o == '"say \\"hi\\"\\nnow"' for _, _, o in rows) == 2
+    heads = [o for _, p, o in rows if p == sh + "resultPath>"]
+    assert len(heads) == 2 and all(any(x == h and p.endswith("#first>") for x, p, _ in rows) for h in heads)
+
+
+def test_max_results_cuts_past_the_last(spark):
+    data = PRE + " ".join(f":n{i} :p {i} ." for i in range(10))
+    s = Shapes.from_turtle(spark, PRE + ":S a sh:NodeShape ; sh:targetSubjectsOf :p ; sh:property [ sh:path :p ; sh:maxInclusive 100 ; sh:minInclusive 50 ] ; sh:property [ sh:path :p ; sh:minInclusive 60 ; sh:severity sh:Debug ] .")
+    rows = s.validate_turtle(data, max_results=3).results
+    assert sorted(r.focus_node for r in rows if r.severity.endswith("Violation>")) == ["<http://e/n0>", "<http://e/n1>", "<http://e/n2>"]
+    assert {r.focus_node for r in rows} == {"<http://e/n0>", "<http://e/n1>", "<http://e/n2>"}
