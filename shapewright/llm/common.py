@@ -22,7 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ready(spark: SparkSession) -> None:
     """Names a checkpoint folder if the session has none (tests); a cluster's own setting is kept."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster has to name a shared folder in spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(folder or "/tmp/checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
