@@ -117,24 +117,26 @@ def mix(docs: DataFrame, weights: dict[Source, float] | None = None, smoothing:
     h, src, bucket, n, own, rank, s, b, before, piece, place = free_names([*old, *new], "h", "src", "bucket", "n", "own", "rank", "s", "b", "before", "piece", "place")
     of, at, release, due, slot = free_names([*old, *new, src, s, piece], "of", "at", "release", "due", "slot")
     table, last = plan(whole_weights(shares) if shares else {}, blocks, period, [of, at, release, due, slot])
-    slots = F.broadcast(spark.createDataFrame(table, f"{of} string, {at} long, {release} array<long>, {due} array<long>, {slot} array<long>"))
-    # ranks: a shuffled number from 0 within the source
-    d = docs.withColumns({h: F.xxhash64(*tie), src: key})
+    slots = spark.createDataFrame(table, f"{of} string, {at} long, {release} array<long>, {due} array<long>, {slot} array<long>")
+    # ranks: a shuffled number from 0 within the source; sources are joined by a key that is never null, as it deals out rows
+    no_null = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    slots = slots.withColumn(of, no_null(F.col(of)))
+    d = docs.withColumns({h: F.xxhash64(*tie), src: no_null(key)})
     d = d.withColumn(bucket, F.pmod(F.shiftrightunsigned(h, 17), F.lit(max(1, math.ceil(rows / BUCKET_ROWS)))))
     counts = d.groupBy(F.col(src).alias(s), F.col(bucket).alias(b)).agg(F.count(F.lit(1)).alias(n))
     sums = counts.withColumn(before, F.coalesce(F.sum(n).over(Window.partitionBy(s).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop(n)
     out = (
         d.withColumn(own, F.row_number().over(Window.partitionBy(src, bucket).orderBy(h, *tie)) - 1)
-        .join(sums, F.col(src).eqNullSafe(F.col(s)) & (F.col(bucket) == F.col(b)))
+        .join(sums, (F.col(src) == F.col(s)) & (F.col(bucket) == F.col(b)))
         .withColumn(rank, F.col(own) + F.col(before))
         .withColumn(piece, F.floor(F.floor(F.col(rank) / block) / period).cast("long"))
         .withColumn(place, (F.floor(F.col(rank) / block) % period).cast("int"))
-        .join(slots, F.col(src).eqNullSafe(F.col(of)) & (F.col(piece) == F.col(at)))
+        .join(F.broadcast(slots), (F.col(src) == F.col(of)) & (F.col(piece) == F.col(at)))
     )
     get = lambda c: F.get(F.col(c), F.col(place))
     return out.select(
         *[F.col(f"`{c}`") for c in old if c.lower() not in new],
-        F.col(src).alias("mix_source"),
+        key.alias("mix_source"),
         F.floor(F.col(rank) / block).cast("long").alias("mix_block"),
         get(release).alias("mix_release"),
         get(due).alias("mix_deadline"),
