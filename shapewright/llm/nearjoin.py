@@ -9,15 +9,17 @@ probability `recall`, even if all its buckets are split to the last depth. All r
 positions, so their number follows from the branching averaged over the number of positions in which a pair agrees; what
 the sketches drop counts as lost.
 
-What is sought are classes (chains of links) and the links that hold them together, not all pairs of a class, whose
-number grows with its square. So a text is compared with a class until one of its members is near enough: the first
-`FIRST_RUNS` runs find most links, and later ones leave out the buckets that hold one class only and the pairs within a
-class. Brute force first compares 128-byte sketches, and confirms a pair on the whole sets, in the first bucket that
+The runs seek classes (chains of links) first, by links that hold them together. So a text is compared with a class
+until one of its members is near enough: the first `FIRST_RUNS` runs find most of these links, and later ones leave out
+the buckets that hold one class only and the pairs within a class. Brute force first compares 128-byte sketches, and confirms a pair on the whole sets, in the first bucket that
 both texts share. A bucket that stays large at the last depth is dealt into parts, each compared in itself; then the
 texts outside the bucket's largest class are compared with all its parts. Nothing is left out: each pair that meets is
 compared, or its texts are in one class already. Rows grow with the texts times their branches; only a bucket of many
 texts that are no near copies of each other adds rows, size / CELL for each text outside its largest class.
 
+Then all links are listed: both texts of a link are in one class, so within each class every set is counted against every
+other, whole. A large class is dealt into parts, and each two parts meet once: a text adds a row for each part.
+
 Texts with equal sets are one representative throughout.
 """
 
@@ -41,7 +43,8 @@ POSITIONS = 128
 LEAST_DEPTH, MOST_DEPTH = 3, 4
 FIRST_RUNS = 2
 BUCKET = 512  # larger ones are split while they can be
-CELL = 1024  # texts of a part of a bucket; one of up to two parts is compared whole
+CELL = 1024  # texts of a part of a bucket or class; one of up to two parts is compared whole
+ELEMENTS = 2 << 20  # elements of the sets of a part of a class
 EDGES = 100_000
 BROADCAST_IDS = 1_000_000  # more ids than that are looked up by a shuffle
 
@@ -138,19 +141,20 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """id, digest of the set, and the min-hashes."""
+    """id, digest of the set, the min-hashes, and the number of its elements."""
 
     def fn():
         def work(batch):
-            digest, sig = [], []
+            digest, sig, n = [], [], []
             for s in shingles(text_bytes(batch, "text"), size):
+                n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(minhash(s).tobytes() if len(s) else None)
-            return {"id": batch.column("id"), "digest": digest, "sig": sig}
+            return {"id": batch.column("id"), "digest": digest, "sig": sig, "n": n}
 
         return work
 
-    return per_row(docs, [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")], "id long, digest binary, sig binary", fn)
+    return per_row(docs, [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")], "id long, digest binary, sig binary, n long", fn)
 
 
 def signs(b: pa.RecordBatch | pa.Table) -> np.ndarray:
@@ -410,6 +414,107 @@ def compared(cells: DataFrame, docs: DataFrame, classes: DataFrame, size: int, t
     return cut(confirmed(dealt(with_sets(docs, want, classes, size)), threshold, least))
 
 
+def commons(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The number of common elements of each set of the one list with each of the other."""
+    n, m = len(left), len(right)
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(a, b)
+    out = np.zeros((n, m), np.int64)
+    if not len(both):
+        return out
+
+    def places(sets: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sets that hold each element of `both`, one element after the other, and how many they are."""
+        at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        k = np.minimum(np.searchsorted(both, x), len(both) - 1)
+        same = both[k] == x
+        k, at = k[same], at[same]
+        return at[np.argsort(k, kind="stable")], np.bincount(k, minlength=len(both))
+
+    (row, f), (col, g) = places(left, a), places(right, b)
+    first_row, first_col = np.cumsum(f) - f, np.cumsum(g) - g
+    # frequent elements as products of matrices of 0 and 1, rare ones by the pairs that they make
+    frequent = f * g * 256 > n * m
+    dense, rare = np.flatnonzero(frequent), np.flatnonzero(~frequent)
+
+    def matrix(some: np.ndarray, first: np.ndarray, count: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        x = np.zeros((len(some), width), np.float32)
+        x[np.repeat(np.arange(len(some)), count[some]), at[spans(first[some], count[some])]] = 1
+        return x
+
+    for i in range(0, len(dense), 1024):
+        some = dense[i : i + 1024]
+        out += (matrix(some, first_row, f, row, n).T @ matrix(some, first_col, g, col, m)).astype(np.int64)
+    made = np.cumsum(f[rare] * g[rare]) // (1 << 22)
+    for some in np.split(rare, np.flatnonzero(np.diff(made)) + 1) if len(rare) else []:
+        x, times = row[spans(first_row[some], f[some])], np.repeat(g[some], f[some])
+        y = col[spans(np.repeat(first_col[some], f[some]), times)]
+        out += np.bincount(np.repeat(x, times) * m + y, minlength=n * m).reshape(n, m)
+    return out
+
+
+def spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] of them), then those from first[1] on, and so on."""
+    return np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
+def all_links(docs: DataFrame, classes: DataFrame, found: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(id, links): every set linked to the set, of all pairs within the classes (id, least); ids without a link are left out."""
+    whole = found.unionByName(found.select(F.col("least").alias("id"), "least").distinct())  # a class's smallest id has no row
+    members = whole.join(classes.select("id", "n"), "id").select("id", "least", "n")
+    n, e = F.count(F.lit(1)), F.sum("n")
+    sizes = members.groupBy("least").agg(F.when((n > 2 * CELL) | (e > 2 * ELEMENTS), F.ceil(F.greatest(n / CELL, e / ELEMENTS))).otherwise(1).cast("int").alias("parts"))
+    own = members.join(sizes, "least").select("id", "least", "parts", F.pmod(F.xxhash64("id", F.lit("part")), "parts").cast("int").alias("part"))
+    met = own.select("id", "least", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cell = F.xxhash64("least", F.least("part", "other"), F.greatest("part", "other"))
+    want = met.select("id", cell.alias("cell"), F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).cast("long").alias("class"), F.array().cast("array<long>").alias("keys"), F.lit(b"").alias("sketch"))
+
+    def links_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Linked ids, both ways, of a cell: a part in itself (its number is -1) or the lesser part with the greater one."""
+        ids, at = np.unique(t.column("id").to_numpy(), return_index=True)  # repeated rows are one document
+        part = t.column("class").to_numpy()[at]
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("elements").take(pa.array(at)).to_pylist()]
+        lengths = np.array([len(s) for s in sets])
+        x = np.flatnonzero(part == part.min())
+        y = x if part.max() < 0 else np.flatnonzero(part != part.min())
+        if not len(y):
+            return ids[:0], ids[:0]
+        common = commons([sets[i] for i in x], [sets[i] for i in y])
+        ok = common >= threshold * (lengths[x][:, None] + lengths[y][None, :] - common)
+        if x is y:
+            np.fill_diagonal(ok, False)
+        i, j = np.nonzero(ok)
+        a, b = ids[x[i]], ids[y[j]]
+        return (a, b) if x is y else (np.concatenate([a, b]), np.concatenate([b, a]))
+
+    def listed(some: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """A row for each id of a cell."""
+        for a, b in some:
+            order = np.argsort(a, kind="stable")
+            ids, start = np.unique(a[order], return_index=True)
+            offsets = np.append(start, len(a)).astype(np.int32)
+            rows = pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(offsets), pa.array(b[order]))], ["id", "to"])
+            step = max(1, rows.num_rows * 500_000 // len(a))
+            yield from (rows.slice(i, step) for i in range(0, rows.num_rows, step))
+
+    def run(batches):
+        for t in whole_groups(batches, "cell"):
+            key = t.column("cell").to_numpy()
+            edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]).tolist()
+            few = []
+            for i, j in zip(edge[:-1], edge[1:]):
+                a, b = links_of(t.slice(i, j - i))
+                if len(a):
+                    few.append((a, b))
+                    if sum(len(a) for a, _ in few) > 500_000:
+                        yield from listed(few)
+                        few = []
+            yield from listed(few)
+
+    rows = with_sets(docs, want, classes, size).repartition("cell").sortWithinPartitions("cell", "id")
+    return rows.mapInArrow(run, "id long, to array<long>").groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("to"))).alias("links"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, least): the smallest id of each connected component, for ids that have an edge.
 
@@ -445,49 +550,48 @@ def labelled(classes: DataFrame, found: DataFrame | None) -> DataFrame:
     return classes.join(found, "id", "left").withColumn("class", F.coalesce("least", "id")).drop("least")
 
 
-def near_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document (distinct id): doc_id, class_id, rep_id, n_copies, links, n_links.
+def near_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", links: bool = True) -> DataFrame:
+    """One row for each document (distinct id): doc_id, class_id, rep_id, n_copies, and with links also links, n_links.
 
     Documents with equal sets are represented by the smallest id among them, rep_id (membership); n_copies counts the
-    others. links lists the representatives with smaller ids to which a confirmed pair joins this document's
-    representative (Jaccard similarity at the threshold or above), n_links is their number. These pairs hold together
-    each class: class_id is the smallest id among all documents that chains of links join, so two documents have the
-    same class_id if, and only if, such a chain joins them. Pairs that would only join what is joined already aren't
-    listed. Null and empty texts have no shingles and no links, and are classes of their own (rep_id is their own id);
+    others. class_id is the smallest id among all documents that chains of links join, so two documents have the same
+    class_id if, and only if, such a chain joins them. links lists all other representatives, with smaller and larger
+    ids, whose Jaccard similarity to this document's representative is at the threshold or above; n_links is their
+    number. All pairs of a class are compared, so what the recall leaves open is only whether a class is whole. Null and empty texts have no shingles and no links, and are classes of their own (rep_id is their own id);
     texts of fewer words than a shingle are one shingle. Rows without an id are left out; repeated rows, and rows that
     share an id, are one document (that of the smallest set digest). An empty table gives an empty table; other columns
     are ignored.
     """
     runs, least = runs_for(MOST_DEPTH, threshold, recall), least_agreeing(threshold, recall)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
-    one = cut(signatures(docs, size, "id", "text").groupBy("id").agg(F.min(F.struct("digest", "sig")).alias("x")).select("id", "x.digest", "x.sig"))
+    one = cut(signatures(docs, size, "id", "text").groupBy("id").agg(F.min(F.struct("digest", "sig", "n")).alias("x")).select("id", "x.digest", "x.sig", "x.n"))
     # copies of a set are counted, and later found again, by digest and a part of the ids: no digest fills a task
     salt = F.pmod(F.xxhash64("id"), F.lit(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     salted = one.where("digest is not null").groupBy("digest", salt.alias("salt")).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     sizes = cut(salted.groupBy("digest").agg(F.min("rep").alias("rep"), F.sum("n").alias("n")))
-    bare = cut(sizes.select(F.col("rep").alias("id"), "digest").join(one.select("id", "sig"), "id"))
-    links, found = None, None
+    bare = cut(sizes.select(F.col("rep").alias("id"), "digest").join(one.select("id", "sig", "n"), "id"))
+    edges, found = None, None
     for some in (range(0, min(FIRST_RUNS, runs)), range(min(FIRST_RUNS, runs), runs)):
         buckets = leaves(labelled(bare, found), some, threshold)
         more = compared(parts(buckets), docs, bare, size, threshold, least)
-        links = more if links is None else links.unionByName(more)
-        found = components(links)
+        edges = more if edges is None else edges.unionByName(more)
+        found = components(edges)
         large = buckets.where(F.col("size") > 2 * CELL).select("path", "id")
         if not large.isEmpty():
             cells = cut(across(large.join(labelled(bare, found).select("id", "class"), "id")))
             if not cells.isEmpty():
-                links = links.unionByName(compared(cells, docs, bare, size, threshold, least, once=False))
-                found = components(links)
-    to = links.groupBy(F.col("a").alias("id")).agg(F.array_sort(F.collect_set("b")).alias("links"))
-    about = sizes.join(found.withColumnRenamed("id", "rep"), "rep", "left").join(to.withColumnRenamed("id", "rep"), "rep", "left")
+                edges = edges.unionByName(compared(cells, docs, bare, size, threshold, least, once=False))
+                found = components(edges)
+    about = sizes.join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    if links:
+        about = about.join(all_links(docs, bare, found, size, threshold).withColumnRenamed("id", "rep"), "rep", "left")
     about = salted.select("digest", "salt").join(about, "digest")
     return one.select("id", "digest", salt.alias("salt")).join(about, ["digest", "salt"], "left").select(
         F.col("id").alias("doc_id"),
         F.coalesce("least", "rep", "id").alias("class_id"),
         F.coalesce("rep", "id").alias("rep_id"),
         F.coalesce(F.col("n") - 1, F.lit(0)).alias("n_copies"),
-        F.coalesce("links", F.array().cast("array<long>")).alias("links"),
-        F.coalesce(F.size("links"), F.lit(0)).cast("long").alias("n_links"),
+        *([F.coalesce("links", F.array().cast("array<long>")).alias("links"), F.when(F.col("links").isNull(), 0).otherwise(F.size("links")).cast("long").alias("n_links")] if links else []),
     )
 
 
@@ -499,7 +603,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHING
     """
     gone, n = free_names(docs.columns, "gone", "n")
     key = F.col(f"`{id_col}`").cast("long")
-    keep = near_join(docs, threshold, size, recall, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias(gone))
+    keep = near_join(docs, threshold, size, recall, id_col, text_col, links=False).where("doc_id <> class_id").select(F.col("doc_id").alias(gone))
     out = docs.join(keep, key == F.col(gone), "left_anti")
     again = cut(docs.select(key.alias(gone)).where(F.col(gone).isNotNull()).groupBy(gone).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1).select(gone))
     if again.isEmpty():

@@ -164,6 +164,36 @@ def test_op4_rows_of_a_large_group(spark, monkeypatch):
     assert most[1] <= 6 * most[0] and most[1] <= 45 * 5000  # the branches of all runs
 
 
+@pytest.mark.parametrize("cell", [1024, 4])
+def test_op4_all_links(spark, real, odd, cell, monkeypatch):
+    """Every link between different sets, also where other links join the two already; repeated rows count once."""
+    monkeypatch.setattr(nearjoin, "CELL", cell)
+    base = prose(120, 42).split()
+    crowd = [(i, " ".join([*base[: 3 * i], f"q{i}", *base[3 * i + 1 :]])) for i in range(30)]
+    crowd += [(100 + i, " ".join([*(f"x{k}" for k in range(2 * i)), *base[2 * i :]])) for i in range(20)]
+    for docs in (spark.createDataFrame([*crowd, *crowd[:5]], "doc_id long, text string"), real, odd.where("doc_id is not null")):
+        sets = {r.doc_id: shingle_set(r.text) for r in docs.collect()}
+        rep = {}
+        for i in sorted(sets):
+            rep.setdefault(sets[i] or i, i)
+        inv = defaultdict(set)
+        for s, i in rep.items():
+            for x in s if isinstance(s, frozenset) else ():
+                inv[x].add(i)
+        want = {i: sorted(j for j in set().union(*(inv[x] for x in sets[i])) if j != rep[sets[i]] and near(sets[i], sets[j])) if sets[i] else [] for i in sets}
+        out = nearjoin.near_join(docs).collect()
+        assert {r.doc_id: r.links for r in out} == want and all(r.n_links == len(want[r.doc_id]) for r in out)
+
+
+def test_op4_common_elements():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    a, b = ([np.unique(r.zipf(1.3, k).astype(np.uint64)) for k in r.integers(0, 400, n)] for n in (70, 90))
+    assert np.array_equal(nearjoin.commons(a, b), [[len(np.intersect1d(x, y)) for y in b] for x in a])
+    assert not nearjoin.commons(a[:1], [a[0] + np.uint64(1 << 60)]).any()
+
+
 def test_op4_recall_of_paths():
     assert 1 - (1 - nearjoin.meets(4, 0.8)) ** nearjoin.runs_for(4, 0.8, 0.999) >= 0.999
 
