@@ -168,7 +168,7 @@ def unescaped(text: Column) -> Column:
 
 
 def term_of_key(k: Column) -> Column:
-    """A term from its key."""
+    """A term from its key; null for null."""
     lit = k.startswith('"')
     body = F.regexp_extract(k, r'^"((?s:(?:[^"\\]|\\.)*))"', 1)
     tail = F.regexp_extract(k, r'^"(?s:(?:[^"\\]|\\.)*)"(.*)$', 1)
@@ -183,7 +183,7 @@ def term_of_key(k: Column) -> Column:
     num = F.when(good, number(lex))
     dec = F.when(good & dt.isin(EXACT), lex.try_cast(DEC))
     stamped = ((dt == XSD + "dateTime") & well_formed(lex, XSD + "dateTime")) | ((dt == XSD + "date") & well_formed(lex, XSD + "date"))
-    return term(k, kind, lex, dt, lang, direction, num, dec, F.when(stamped, stamp(lex, dt)), F.when(stamped, has_zone(lex)))
+    return F.when(k.isNotNull(), term(k, kind, lex, dt, lang, direction, num, dec, F.when(stamped, stamp(lex, dt)), F.when(stamped, has_zone(lex))))
 
 
 def node_term(k: Column) -> Column:

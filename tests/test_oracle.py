@@ -39,5 +39,10 @@ def test_same_as_sql(spark, duck, name):
     assert got == Counter(tuple(r[names.index(c)] for c in columns) for r in cur.fetchall())
 
 
+def test_unbound(spark, duck):
+    """A row without a key has no term."""
+    test_same_as_sql(spark, duck, "fn_bound_rows")
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 14
