@@ -44,5 +44,10 @@ def test_unbound(spark, duck):
     test_same_as_sql(spark, duck, "fn_bound_rows")
 
 
+def test_coalesce_past_unbound(spark, duck):
+    """Coalesce passes over what has no term."""
+    test_same_as_sql(spark, duck, "fn_bound_null")
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 14
