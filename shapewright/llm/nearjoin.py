@@ -45,7 +45,7 @@ FIRST_RUNS = 2
 BUCKET = 512  # larger ones are split while they can be
 CELL = 1024  # texts of a part of a bucket or class; one of up to two parts is compared whole
 ELEMENTS = 2 << 20  # elements of the sets of a part of a class
-EDGES = 100_000
+EDGES = 100_000  # rows of ids of a task, in tables that few() makes
 BROADCAST_IDS = 1_000_000  # more ids than that are looked up by a shuffle
 
 _A = odd_constants(POSITIONS, "minhash-a")
@@ -140,6 +140,11 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def few(df: DataFrame, rows: float) -> DataFrame:
+    """df, of about `rows` rows of ids at most, in as few tasks as hold EDGES each: cut() writes a file for each task, and on a local disk an executor starts a process for each file."""
+    return df.coalesce(max(1, math.ceil(rows / EDGES)))
+
+
 def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """id, digest of the set, the min-hashes, and the number of its elements."""
 
@@ -194,18 +199,20 @@ def split(large: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     return by_id(large, "path", classes).mapInArrow(run, "path long, id long, class long")
 
 
-def leaves(classes: DataFrame, runs: range, threshold: float) -> DataFrame:
-    """(path, id, class, size) of all final buckets that hold two classes or more."""
+def leaves(classes: DataFrame, n: int, runs: range, threshold: float) -> DataFrame:
+    """(path, id, class, size) of all final buckets that hold two classes or more; n: the number of sets."""
     level = paths_of(classes, runs, threshold)
+    rows = n * len(runs) * min(2.0, 1 / threshold) ** LEAST_DEPTH
     done = []
     for depth in range(LEAST_DEPTH, MOST_DEPTH + 1):
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("path", "size")
-        level = cut(level.join(sizes, "path"))
+        level = cut(few(level.join(sizes, "path"), rows))
         done.append(level if depth == MOST_DEPTH else level.where(F.col("size") <= BUCKET))
         large = level.where(F.col("size") > BUCKET).select("path", "id", "class")
         if depth == MOST_DEPTH or large.isEmpty():
             break
         level = cut(split(large, classes, threshold))  # paths at the least depth are made twice instead: they take more to write
+        rows = level.count()
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
@@ -337,10 +344,10 @@ def needed(rows: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(run, LIGHT)
 
 
-def with_sets(docs: DataFrame, want: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """The rows of `want`, with the sets made from the texts: a text is joined once, and its set goes to its cells from there."""
+def with_sets(docs: DataFrame, want: DataFrame, most: int, classes: DataFrame, size: int) -> DataFrame:
+    """The rows of `want` (of `most` ids at most), with the sets made from the texts: a text is joined once, and its set goes to its cells from there."""
     ids = want.groupBy("id").agg(F.collect_list(F.struct("cell", "class", "sketch")).alias("at"), F.first("keys").alias("keys")).join(classes.select("id", "digest"), "id")
-    only = cut(want.select("id").distinct())
+    only = cut(few(want.select("id").distinct(), most))
     if only.count() <= BROADCAST_IDS:
         docs = docs.join(F.broadcast(only), "id", "left_semi")
 
@@ -411,7 +418,7 @@ def compared(cells: DataFrame, docs: DataFrame, classes: DataFrame, size: int, t
     """The links (a, b) found in cells of (cell, id, class); once: a pair is compared in its first common cell only."""
     dealt = lambda rows: rows.repartition("cell").sortWithinPartitions("cell", "id")
     want = cut(needed(dealt(exploded(by_id(cells, "cell", classes), once)), least))
-    return cut(confirmed(dealt(with_sets(docs, want, classes, size)), threshold, least))
+    return cut(confirmed(dealt(with_sets(docs, want, want.count(), classes, size)), threshold, least))
 
 
 def commons(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -511,7 +518,7 @@ def all_links(docs: DataFrame, classes: DataFrame, found: DataFrame, size: int,
                         few = []
             yield from listed(few)
 
-    rows = with_sets(docs, want, classes, size).repartition("cell").sortWithinPartitions("cell", "id")
+    rows = with_sets(docs, want, 2 * found.count(), classes, size).repartition("cell").sortWithinPartitions("cell", "id")
     return rows.mapInArrow(run, "id long, to array<long>").groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("to"))).alias("links"))
 
 
@@ -522,12 +529,12 @@ def components(edges: DataFrame) -> DataFrame:
     round of few edges runs in few tasks (EDGES each at most), one of many in as many as the session has.
     """
 
-    def settled(df: DataFrame) -> tuple[DataFrame, tuple]:
-        df = cut(df)
+    def settled(df: DataFrame, most: int) -> tuple[DataFrame, tuple]:
+        df = cut(few(df, most))
         n, check = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         return df.coalesce(max(1, n // EDGES)), (n, check)
 
-    e, state = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    e, state = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), edges.count())
     for _ in range(60):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(max(1, 2 * state[0] // EDGES))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -536,7 +543,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small: a node's lower neighbours, and itself, go to the least of them
         down = big.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        e, now = settled(down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        e, now = settled(down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), 2 * state[0])
         if now == state:
             break
         state = now
@@ -570,9 +577,10 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE
     salted = one.where("digest is not null").groupBy("digest", salt.alias("salt")).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     sizes = cut(salted.groupBy("digest").agg(F.min("rep").alias("rep"), F.sum("n").alias("n")))
     bare = cut(sizes.select(F.col("rep").alias("id"), "digest").join(one.select("id", "sig", "n"), "id"))
+    n = sizes.count()
     edges, found = None, None
     for some in (range(0, min(FIRST_RUNS, runs)), range(min(FIRST_RUNS, runs), runs)):
-        buckets = leaves(labelled(bare, found), some, threshold)
+        buckets = leaves(labelled(bare, found), n, some, threshold)
         more = compared(parts(buckets), docs, bare, size, threshold, least)
         edges = more if edges is None else edges.unionByName(more)
         found = components(edges)

@@ -194,6 +194,29 @@ def test_op4_common_elements():
     assert not nearjoin.commons(a[:1], [a[0] + np.uint64(1 << 60)]).any()
 
 
+def test_op4_files_of_small_tables(spark, monkeypatch):
+    """A table of few ids is written by one task, however many partitions a shuffle has; the rounds of components among them."""
+    seen = []
+    keep = nearjoin.cut
+    monkeypatch.setattr(nearjoin, "cut", lambda df: seen.append((out := keep(df)).rdd.getNumPartitions()) or out)
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        chains = spark.createDataFrame([(i, i + 1) for i in range(50) if i % 10 != 9], "a long, b long")
+        assert {r.id: r.least for r in nearjoin.components(chains).collect()} == {i: i // 10 * 10 for i in range(50) if i % 10}
+        assert len(seen) > 1 and set(seen) == {1}
+        seen.clear()
+        base = prose(120, 43).split()
+        rows = [(i, " ".join([*base[:i], f"q{i}", *base[i + 1 :]])) for i in range(20)]
+        check_near(rows, nearjoin.near_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert sum(x > 1 for x in seen) <= 7  # signatures, copies, representatives; of each of the two turns the cells and the links
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_op4_recall_of_paths():
     assert 1 - (1 - nearjoin.meets(4, 0.8)) ** nearjoin.runs_for(4, 0.8, 0.999) >= 0.999
 
