@@ -77,27 +77,25 @@ class Graph:
         first, rest = self.rel(FIRST), self.rel(REST)
         one = first.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.first("o").alias("o")).where("n = 1").select(F.col("s").alias("fs"), "o")
         nxt = rest.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.first("o.k").alias("to")).where("n = 1").select(F.col("s").alias("rs"), "to")
-        cells = cut(one.join(nxt, F.col("fs") == F.col("rs")).select(F.col("fs").alias("cell"), "o", "to"))
-        # strides: what comes after a cell, up to 64 members at once
-        stride = cells.select("cell", F.array("o").alias("part"), "to")
-        for _ in range(6):
-            more = stride.select(F.col("cell").alias("c2"), F.col("part").alias("p2"), F.col("to").alias("t2"))
-            stride = cut(stride.join(more, F.col("to") == F.col("c2"), "left").select("cell", F.when(F.col("p2").isNull(), F.col("part")).otherwise(F.concat("part", "p2")).alias("part"), F.coalesce("t2", "to").alias("to")))
-        longest = cells.count()
-        walk = cut(heads.select("k").distinct().select("k", F.col("k").alias("at"), F.array().cast(f"array<{TERM.simpleString()}>").alias("members")))
-        done = []
-        while True:
-            done.append(walk.where(F.col("at") == NIL).select("k", "members"))
-            # a list longer than all cells there are goes in a circle
-            walk = cut(
-                walk.where((F.col("at") != NIL) & (F.size("members") <= longest))
-                .join(stride, F.col("at") == F.col("cell"))
-                .select("k", F.col("to").alias("at"), F.concat("members", "part").alias("members"))
-            )
-            if walk.isEmpty():
-                break
-        found = reduce(DataFrame.unionByName, done)
-        return heads.select("k").distinct().join(found, "k", "left")
+        cells = cut(one.join(nxt, F.col("fs") == F.col("rs")).where(F.col("fs") != NIL).select(F.col("fs").alias("cell"), "o", "to"))
+        # jumps[i]: the cell 2^i after a cell, where there is one; only keys, and fewer from one to the next
+        jumps = [cut(cells.select("cell", "to").join(cells.select(F.col("cell").alias("to")), "to", "left_semi").select("cell", "to"))]
+        n = jumps[0].count()
+        while n:
+            far = cut(jumps[-1].join(jumps[-1].select(F.col("cell").alias("to"), F.col("to").alias("then")), "to").select("cell", F.col("then").alias("to")))
+            before, n = n, far.count()
+            if n == before:
+                break  # a list that ended would have a cell that just reaches its end: the rest go in circles
+            jumps.append(far)
+        circles = jumps.pop()
+        k = cut(heads.select("k").distinct())
+        at = k.join(cells.select("cell"), F.col("k") == F.col("cell"), "left_semi").join(circles, F.col("k") == F.col("cell"), "left_anti").select("k", F.lit(0).cast("long").alias("pos"), F.col("k").alias("cell"))
+        # each place of a list is a sum of jumps, the longest first
+        for i in reversed(range(len(jumps))):
+            at = cut(at.unionByName(at.join(jumps[i], "cell").select("k", (F.col("pos") + 2**i).alias("pos"), F.col("to").alias("cell"))))
+        whole = at.join(cells, "cell").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "o"))).alias("members"), F.max(F.col("to") == NIL).alias("ends")).where("ends")
+        found = whole.select("k", F.transform("members", lambda x: x.getField("o")).alias("members"))
+        return k.join(found.unionByName(k.where(F.col("k") == NIL).select("k", F.array().cast(f"array<{TERM.simpleString()}>").alias("members"))), "k", "left")
 
     def list_heads(self) -> bool:
         return FIRST in self.predicates()

@@ -130,3 +130,21 @@ def test_max_results_cuts_past_the_last(spark):
     rows = s.validate_turtle(data, max_results=3).results
     assert sorted(r.focus_node for r in rows if r.severity.endswith("Violation>")) == ["<http://e/n0>", "<http://e/n1>", "<http://e/n2>"]
     assert {r.focus_node for r in rows} == {"<http://e/n0>", "<http://e/n1>", "<http://e/n2>"}
+
+
+def test_lists_grow_by_keys_only(spark, monkeypatch):
+    """What is written on the way holds a row a place, no arrays; circles, shared ends and broken lists too."""
+    from shapewright.sources import graph
+    from shapewright.terms import FIRST, NIL, REST
+
+    cell = "<http://e/{}>".format
+    after = {**{f"a{i}": f"a{i + 1}" for i in range(1, 9)}, "a9": NIL, "b1": "a4", "c1": "c2", "c2": "c3", "c3": "c1", "d1": "c2", "e1": "e2", "e2": "gap"}
+    rows = [t for x, y in after.items() for t in ((cell(x), FIRST, f'"{x}"'), (cell(x), REST, y if y == NIL else cell(y)))]
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df, f=graph.cut: written.append(df) or f(df))
+    heads = spark.createDataFrame([(x if x == NIL else cell(x),) for x in ("a1", "a9", "b1", "c1", "d1", "e1", "none", NIL, "a1")], "k string")
+    got = {r.k: r.members and [m.lex for m in r.members] for r in TripleGraph.of(spark, rows).lists(heads).collect()}
+    whole = [f"a{i}" for i in range(1, 10)]
+    assert {k: v for k, v in got.items() if v} == {cell("a1"): whole, cell("a9"): ["a9"], cell("b1"): ["b1", *whole[3:]]}
+    assert got[NIL] == [] and len(got) == 8
+    assert written and not any(f.dataType.typeName() == "array" for df in written for f in df.schema)
