@@ -396,7 +396,7 @@ class Validator:
         if kind in ("not", "node", "and", "or", "xone"):
             return [R(self.logical(kind, x, v, seen, depth), shape, c, F.col("v.k"))]
         if kind == "property":
-            return self.nested(x, v, seen, depth)
+            return self.nested(x, v, seen, depth, frame if shape.path is None and shape.values is None else None)
         if kind == "someValue":
             good = self.conforming(x, v, seen, depth).select(F.col("rid").alias("r2"), F.col("f.k").alias("fk"))
             return [R(frame.df.join(good, frame.same("rid", "f.k", "r2", "fk"), "left_anti"), shape, c)]
@@ -466,11 +466,13 @@ class Validator:
             return v
         return v.join(failed, F.col("v.k") == F.col("bad"), "left").where(F.lit(len(bad)) - F.coalesce("n_bad", F.lit(0)) != 1).drop("bad", "n_bad")
 
-    def nested(self, node: str, v: DataFrame, seen: dict[str, DataFrame], depth: int) -> list[DataFrame]:
-        """Results of a property shape at each value, as often as focus nodes have it."""
+    def nested(self, node: str, v: DataFrame, seen: dict[str, DataFrame], depth: int, same: Frame | None = None) -> list[DataFrame]:
+        """Results of a property shape at each value, as often as focus nodes have it; the values of a node shape are its own frame."""
         shape = self.shapes.get(node)
         if shape is None:
             return []
+        if same is not None:
+            return self.evaluate(shape, same, seen, depth)
         frame = v.groupBy("rid", F.col("v").alias("f")).agg(F.sum("m").alias("m"))
         return self.evaluate(shape, Frame(frame), seen, depth)
 

@@ -51,3 +51,13 @@ def test_coalesce_past_unbound(spark, duck):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 14
+
+
+def plan(spark, name: str) -> str:
+    return entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_columns_of_a_property_shape_are_one_scan(spark):
+    """A property shape of a node shape keeps its table: no join, no exchange."""
+    p = plan(spark, "pv_min_exclusive")
+    assert p.count("FileScan") == 1 and "Exchange" not in p and "Join" not in p
