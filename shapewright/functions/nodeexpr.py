@@ -36,12 +36,17 @@ class Expressions:
 
     def sequence(self, node: str, seed: DataFrame) -> DataFrame:
         """(rid, f, o) for a seed (rid, f)."""
+        if (terms := self.uniform(node)) is not None:
+            return seed.select("rid", "f").crossJoin(terms)
         df, c = self.array(node, seed.select("rid", "f"))
         return df.select("rid", "f", F.explode(c).alias("o"))
 
     def first(self, node: str, seed: DataFrame) -> DataFrame:
         """(rid, f, o) with the first value, or null."""
-        df, c = self.array(node, seed.select("rid", "f"))
+        if (terms := self.uniform(node)) is not None:
+            df, c = self.beside(self.foremost(terms, 1), seed.select("rid", "f"))
+        else:
+            df, c = self.array(node, seed.select("rid", "f"))
         return df.select("rid", "f", F.get(c, F.lit(0)).alias("o"))
 
     def keep(self, df: DataFrame, c: Column) -> tuple[DataFrame, Column]:
@@ -137,6 +142,9 @@ class Expressions:
         return self.conforming(x, c, df)
 
     def do_findFirst(self, node, x, df, depth):
+        if (terms := self.uniform(self.g.object(node, shnex("nodes")) or "")) is not None:
+            bad = self.v.fails(x, terms.select(F.col("o").alias("v")), {}, 0)
+            return self.beside(self.foremost(terms.join(bad, F.col("o.k") == F.col("bad"), "left_anti"), 1), df)
         df, c = self.do_filterShape(node, x, df, depth)
         return df, F.slice(c, 1, 1)
 
@@ -154,16 +162,38 @@ class Expressions:
         df, good = self.conforming(shape, c, df)
         return df, F.when(F.size(c) == 0, empty()).otherwise(F.array(boolean(F.size(good) > 0)))
 
+    def uniform(self, node: str) -> DataFrame | None:
+        """(o) the terms, each once, of what asks the whole graph and is the same for every focus; None for other expressions."""
+        op = next((op for op in OPERATORS if self.g.object(node, shnex(op)) is not None), None) if is_blank(node) else None
+        x = self.g.object(node, shnex(op)) if op else None
+        if op == "instancesOf":
+            return self.v.instances([x]).select(node_term(F.col("s")).alias("o"))
+        if op == "distinct":
+            return self.uniform(x)
+        terms = self.graph.nodes() if op == "nodesMatching" else None
+        if op == "filterShape" and (nodes := self.g.object(node, shnex("nodes"))) is not None:
+            terms = self.uniform(nodes)
+        if terms is None:
+            return None
+        return terms.join(self.v.fails(x, terms.select(F.col("o").alias("v")), {}, 0), F.col("o.k") == F.col("bad"), "left_anti")
+
+    def foremost(self, terms: DataFrame, n: int) -> DataFrame:
+        """One array of the first terms by key."""
+        return terms.orderBy("o.k").limit(n).agg(F.array_sort(F.collect_list("o"), by_key))
+
+    def beside(self, one: DataFrame, df: DataFrame) -> tuple[DataFrame, Column]:
+        """The only value of a frame of one row, at every row."""
+        n = self.name()
+        return df.crossJoin(F.broadcast(one.toDF(n))), F.col(n)
+
     def do_nodesMatching(self, node, x, df, depth):
-        every = self.graph.nodes().select(F.col("o").alias("v"))
-        bad = self.v.fails(x, every, {}, 0)
-        return self.same_for_all(every.join(bad, F.col("v.k") == F.col("bad"), "left_anti").select(F.col("v").alias("o")), df)
+        return self.same_for_all(self.uniform(node), df)
 
     def do_instancesOf(self, node, x, df, depth):
-        return self.same_for_all(self.v.instances([x]).select(node_term(F.col("s")).alias("o")), df)
+        return self.same_for_all(self.uniform(node), df)
 
     def same_for_all(self, terms: DataFrame, df: DataFrame) -> tuple[DataFrame, Column]:
-        """One sequence for every focus: what a constant expression asks of the whole graph."""
+        """One sequence for every focus, as an array of its own at each row; what only counts terms or takes the first ones doesn't come here."""
         n = self.name()
         one = terms.agg(F.array_sort(F.collect_list("o"), by_key).alias(n))
         return df.join(one), F.col(n)
@@ -188,6 +218,8 @@ class Expressions:
     # -- arrays
 
     def do_count(self, node, x, df, depth):
+        if (terms := self.uniform(x)) is not None:
+            return self.beside(terms.agg(F.array(integer(F.count(F.lit(1))))), df)
         df, c = self.array(x, df, depth + 1)
         return df, F.array(integer(F.size(c)))
 
@@ -196,6 +228,8 @@ class Expressions:
         return df, distinct(c)
 
     def do_exists(self, node, x, df, depth):
+        if (terms := self.uniform(x)) is not None:
+            return self.beside(terms.limit(1).agg(F.array(boolean(F.count(F.lit(1)) > 0))), df)
         df, c = self.array(x, df, depth + 1)
         return df, F.array(boolean(F.size(c) > 0))
 
@@ -241,6 +275,8 @@ class Expressions:
         return self.extreme(x, df, depth, 1)
 
     def do_limit(self, node, x, df, depth):
+        if (terms := self.uniform(self.g.object(node, shnex("nodes")) or "")) is not None:
+            return self.beside(self.foremost(terms, int(parts(x).lex)), df)
         df, c = self.nodes(node, df, depth)
         return df, F.slice(c, 1, int(parts(x).lex))
 

@@ -61,3 +61,10 @@ def test_columns_of_a_property_shape_are_one_scan(spark):
     """A property shape of a node shape keeps its table: no join, no exchange."""
     p = plan(spark, "pv_min_exclusive")
     assert p.count("FileScan") == 1 and "Exchange" not in p and "Join" not in p
+
+
+def test_whole_graph_is_counted_not_copied(spark, duck):
+    """A count of what matches in the whole graph is one number beside each row, no array of all nodes."""
+    test_same_as_sql(spark, duck, "ne_nodes_matching")
+    test_same_as_sql(spark, duck, "ne_instances_of")
+    assert "collect_list" not in plan(spark, "ne_nodes_matching")

@@ -148,3 +148,21 @@ def test_lists_grow_by_keys_only(spark, monkeypatch):
     assert {k: v for k, v in got.items() if v} == {cell("a1"): whole, cell("a9"): ["a9"], cell("b1"): ["b1", *whole[3:]]}
     assert got[NIL] == [] and len(got) == 8
     assert written and not any(f.dataType.typeName() == "array" for df in written for f in df.schema)
+
+
+def test_whole_graph_expressions(spark):
+    from shapewright.functions.nodeexpr import Expressions
+    from shapewright.operators.validate import Validator
+    from shapewright.plans.ir import load_shapes
+
+    g = TripleGraph.of(spark, [t for i in range(4) for t in ((f"<http://e/n{i}>", "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>", "<http://e/P>"), (f"<http://e/n{i}>", "<http://e/v>", f'"{i}"^^<http://www.w3.org/2001/XMLSchema#integer>'))])
+    every, big = "[ nex:instancesOf :P ]", ":Big a sh:NodeShape ; sh:property [ sh:path :v ; sh:minInclusive 2 ] . "
+    want = {
+        f"[ nex:count {every} ]": "4", "[ nex:count [ nex:instancesOf :None ] ]": "0", f"[ nex:exists {every} ]": "true", "[ nex:exists [ nex:instancesOf :None ] ]": "false",
+        f"[ nex:limit 2 ; nex:nodes {every} ]": "http://e/n0|http://e/n1", f"[ nex:findFirst :Big ; nex:nodes {every} ]": "http://e/n2", f"[ nex:count [ nex:filterShape :Big ; nex:nodes {every} ] ]": "2",
+    }
+    for text, value in want.items():
+        s = load_shapes(PRE + "@prefix nex: <http://www.w3.org/ns/shacl-node-expr#> . " + big + f":E :expr {text} .")
+        seed = g.rel("<http://e/v>").select(F.col("s").alias("rid"), term_of_key(F.col("s")).alias("f"))
+        df, c = Expressions(Validator(g, s)).array(s.graph.object("<http://e/E>", "<http://e/expr>"), seed)
+        assert [r.x for r in df.select(F.array_join(F.transform(c, lambda t: t.lex), "|").alias("x")).collect()] == [value] * 4
