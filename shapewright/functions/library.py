@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..terms import DIR_STRING, LANG_STRING, XSD, XSD_STRING
-from .xsd import DEC, INTEGERS, LEXICAL, NUMERIC, compare, escaped, full, null, number, stamp, term, term_of_key, well_formed
+from .xsd import DEC, INTEGERS, LEXICAL, NUMERIC, compare, escaped, full, let, null, number, stamp, term, term_of_key, well_formed
 
 WHOLE = [XSD + x for x in INTEGERS]
 Fn = Callable[..., Column]
@@ -59,14 +59,6 @@ def typed(text: Column, dt: Column, num: Column | None = None, dec: Column | Non
     return some(text, lambda v: term(k, F.lit("L"), v, dt, null(), null(), num if num is not None else null("double"), dec if dec is not None else null(DEC), ts if ts is not None else null("timestamp"), tz if tz is not None else null("boolean")))
 
 
-def let(values: list[Column], f: Callable[[list[Column]], Column]) -> Column:
-    """f of the values, each of which is written out and worked out once, however often f uses it."""
-    if not values:
-        return f([])
-    packed = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
-    return F.get(F.transform(F.array(packed), lambda p: f([p.getField(f"v{i}") for i in range(len(values))])), F.lit(0))
-
-
 PLACES = "decimal(37,18)"  # two of these add up without losing a place
 ONE = Decimal(10) ** 18
 
@@ -245,8 +237,43 @@ def product(x: Column, y: Column) -> Column:
         odd = units(whole_and_rest(total)[1]) % 2 == 1
         return F.when(tie & odd, F.try_subtract(total, F.lit(Decimal(1).scaleb(-18)).cast(PLACES))).otherwise(total)
 
+    def by_whole(a: Column, b: Column) -> Column:
+        """A whole number of 10 digits times one below 10^9 needs no rounding."""
+        whole = a.try_cast("decimal(10,0)")
+        return F.when(whole == a, whole * b.try_cast("decimal(27,18)")).try_cast(DEC)
+
     out = let([*whole_and_rest(F.abs(x)), *whole_and_rest(F.abs(y))], summed)
-    return let([out], lambda v: F.when((x < 0) != (y < 0), -v[0]).otherwise(v[0]).try_cast(DEC))
+    return F.coalesce(by_whole(x, y), by_whole(y, x), let([out], lambda v: F.when((x < 0) != (y < 0), -v[0]).otherwise(v[0]).try_cast(DEC)))
+
+
+def whole_quotient(x: Column, y: Column) -> Column:
+    """The absolute quotient of whole numbers that are longs, the divisor up to 9 * 10^9, nine places at once; null for others."""
+    nine = F.lit(10**9).cast("long")
+
+    def div(a: Column, b: Column) -> Column:
+        return F.call_function("div", a, b)
+
+    def first(v: list[Column]) -> Column:
+        n, d = v
+        return let([d, div(n, d), n % d * nine], second)
+
+    def second(v: list[Column]) -> Column:
+        d, whole, more = v
+        return let([d, whole, div(more, d), more % d * nine], third)
+
+    def third(v: list[Column]) -> Column:
+        d, whole, high, more = v
+        return let([d, whole, high * nine + div(more, d), more % d * 2], last)
+
+    def last(v: list[Column]) -> Column:
+        d, whole, places, twice = v
+        up = F.when((twice > d) | ((twice == d) & (places % 2 == 1)), 1).otherwise(0)
+        tail = F.try_multiply((places + up).cast("decimal(19,0)"), F.lit(Decimal(1).scaleb(-18)).cast("decimal(18,18)"))
+        return F.try_add(whole.cast(PLACES), tail.try_cast(PLACES)).try_cast(DEC)
+
+    n, d = F.abs(x), F.abs(y)
+    small = (n < F.lit(Decimal(2**63))) & (d > 0) & (d <= F.lit(Decimal(9 * 10**9))) & (n.try_cast("decimal(20,0)") == n) & (d.try_cast("decimal(20,0)") == d)
+    return F.when(small, let([n.try_cast("long"), F.when(small, d.try_cast("long"))], first))
 
 
 def quotient(x: Column, y: Column) -> Column:
@@ -280,6 +307,7 @@ def quotient(x: Column, y: Column) -> Column:
     # the two are worked out once, and a zero divisor never gets to the steps
     pairs = F.array(F.struct(scaled(x).alias("n"), F.when(y != 0, scaled(y)).alias("d")))
     out = F.get(F.transform(F.filter(pairs, lambda p: p.getField("n").isNotNull() & p.getField("d").isNotNull()), digits), F.lit(0))
+    out = F.coalesce(whole_quotient(x, y), out)
     return F.when((x < 0) != (y < 0), -out).otherwise(out).try_cast(DEC)
 
 

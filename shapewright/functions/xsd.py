@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,6 +128,14 @@ def has_zone(lex: Column) -> Column:
     return lex.rlike(r"[T:0-9](Z|[+-][0-9]{2}:[0-9]{2})$") & ~lex.rlike(r"^-?[0-9]{4,}-[0-9]{2}-[0-9]{2}$")
 
 
+def let(values: list[Column], f: Callable[[list[Column]], Column]) -> Column:
+    """f of the values, each of which is written out and worked out once, however often f uses it."""
+    if not values:
+        return f([])
+    packed = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.get(F.transform(F.array(packed), lambda p: f([p.getField(f"v{i}") for i in range(len(values))])), F.lit(0))
+
+
 def term(k: Column, kind: Column, lex: Column, dt: Column, lang: Column, dir_: Column, num: Column, dec: Column, ts: Column, tz: Column) -> Column:
     return F.struct(*[c.cast(f.dataType).alias(f.name) for c, f in zip((k, kind, lex, dt, lang, dir_, num, dec, ts, tz), TERM)])
 
@@ -169,21 +179,27 @@ def unescaped(text: Column) -> Column:
 
 def term_of_key(k: Column) -> Column:
     """A term from its key; null for null."""
-    lit = k.startswith('"')
     body = F.regexp_extract(k, r'^"((?s:(?:[^"\\]|\\.)*))"', 1)
     tail = F.regexp_extract(k, r'^"(?s:(?:[^"\\]|\\.)*)"(.*)$', 1)
-    lex = F.when(lit, unescaped(body)).when(k.startswith("_:"), F.substring(k, F.lit(3), F.length(k))).when(k.startswith("<<("), k).otherwise(F.substring(k, F.lit(2), F.length(k) - 2))
-    lang = F.when(lit & tail.startswith("@"), F.regexp_extract(tail, r"^@([A-Za-z0-9]+(?:-[A-Za-z0-9]+)*)", 1))
-    direction = F.when(lit & tail.contains("--"), F.regexp_extract(tail, r"--([a-z]+)$", 1))
-    dt = F.when(~lit, null()).when(tail.startswith("^^"), F.regexp_extract(tail, r"^\^\^<(.*)>$", 1)).when(tail.contains("--"), F.lit(DIR_STRING)).when(tail.startswith("@"), F.lit(LANG_STRING)).otherwise(F.lit(XSD_STRING))
-    kind = F.when(lit, "L").when(k.startswith("<<("), "T").when(k.startswith("_:"), "B").otherwise("I")
-    good = F.lit(False)
-    for x in (*INTEGERS, "decimal", "float", "double"):
-        good = good | ((dt == XSD + x) & well_formed(lex, XSD + x))
-    num = F.when(good, number(lex))
-    dec = F.when(good & dt.isin(EXACT), lex.try_cast(DEC))
-    stamped = ((dt == XSD + "dateTime") & well_formed(lex, XSD + "dateTime")) | ((dt == XSD + "date") & well_formed(lex, XSD + "date"))
-    return F.when(k.isNotNull(), term(k, kind, lex, dt, lang, direction, num, dec, F.when(stamped, stamp(lex, dt)), F.when(stamped, has_zone(lex))))
+
+    def typed(v: list[Column]) -> Column:
+        lex, tail = v
+        dt = F.when(tail.startswith("^^"), F.regexp_extract(tail, r"^\^\^<(.*)>$", 1)).when(tail.contains("--"), F.lit(DIR_STRING)).when(tail.startswith("@"), F.lit(LANG_STRING)).otherwise(F.lit(XSD_STRING))
+        lang = F.when(tail.startswith("@"), F.regexp_extract(tail, r"^@([A-Za-z0-9]+(?:-[A-Za-z0-9]+)*)", 1))
+        direction = F.when(tail.contains("--"), F.regexp_extract(tail, r"--([a-z]+)$", 1))
+        return let([lex, dt, lang, direction], valued)
+
+    def valued(v: list[Column]) -> Column:
+        lex, dt, lang, direction = v
+        # only the test of the literal's own type is run
+        good = stamped = F.when(F.lit(False), F.lit(False))
+        for x in (*INTEGERS, "decimal", "float", "double"):
+            good = good.when(dt == XSD + x, well_formed(lex, XSD + x))
+        for x in ("dateTime", "date"):
+            stamped = stamped.when(dt == XSD + x, well_formed(lex, XSD + x))
+        return let([good, stamped], lambda w: term(k, F.lit("L"), lex, dt, lang, direction, F.when(w[0], number(lex)), F.when(w[0] & dt.isin(EXACT), lex.try_cast(DEC)), F.when(w[1], stamp(lex, dt)), F.when(w[1], has_zone(lex))))
+
+    return F.when(k.startswith('"'), let([unescaped(body), tail], typed)).when(k.isNotNull(), node_term(k))
 
 
 def node_term(k: Column) -> Column:

@@ -166,3 +166,21 @@ def test_whole_graph_expressions(spark):
         seed = g.rel("<http://e/v>").select(F.col("s").alias("rid"), term_of_key(F.col("s")).alias("f"))
         df, c = Expressions(Validator(g, s)).array(s.graph.object("<http://e/E>", "<http://e/expr>"), seed)
         assert [r.x for r in df.select(F.array_join(F.transform(c, lambda t: t.lex), "|").alias("x")).collect()] == [value] * 4
+
+
+def test_whole_operands(spark):
+    """Whole operands take a short way, with the same 18 places."""
+    from decimal import ROUND_HALF_EVEN, Decimal, localcontext
+
+    from shapewright.functions.library import product, quotient, whole_quotient
+
+    rows = [(Decimal(a), Decimal(b)) for a in ("-610799941.174276988115423312", "9223372036854775807", "1", "-7", "0", "5") for b in ("6827858363", "9000000000", "0.000000000000000001", "3", "0", "-64")]
+    df = spark.createDataFrame(rows, "x decimal(38,18), y decimal(38,18)")
+    with localcontext(prec=100):
+        for r in df.select("x", "y", product(F.col("x"), F.col("y")).alias("p"), quotient(F.col("x"), F.col("y")).alias("q"), whole_quotient(F.col("x"), F.col("y")).alias("w")).collect():
+            exact = (r.x * r.y).quantize(Decimal("1e-18"), ROUND_HALF_EVEN)
+            assert r.p == exact or r.p is None and abs(exact) >= 10**19
+            ratio = (r.x / r.y).quantize(Decimal("1e-18"), ROUND_HALF_EVEN) if r.y else None
+            assert r.q == ratio or r.q is None and abs(ratio) >= 10**19
+            if r.x % 1 == r.y % 1 == 0 < r.y <= 9 * 10**9:
+                assert r.w == abs(ratio)
