@@ -176,6 +176,12 @@ class TableGraph(Graph):
         t = self.tables[table]
         return t.df.select(t.key().alias("s"), *[F.when(F.col(t.columns[p][0]).isNotNull(), t.object(p).getField("k")).alias(f"k{i}") for i, p in enumerate(predicates)])
 
+    def row(self, table: str, predicates: list[str]) -> DataFrame:
+        """(s, o0, o1, ...) the values of some columns of a table, of rows that have them all."""
+        t = self.tables[table]
+        rows = t.df.where(reduce(lambda a, b: a & b, [F.col(t.columns[p][0]).isNotNull() for p in predicates]))
+        return rows.select(t.key().alias("s"), *[t.object(p).alias(f"o{i}") for i, p in enumerate(predicates)])
+
     def class_table(self, c: str) -> str | None:
         """The table whose rows are all the instances of a class, if no other row is."""
         if any(t.class_column for t in self.tables.values()):
@@ -262,6 +268,9 @@ class UnionGraph(Graph):
     def columns(self, table: str, predicates: list[str]) -> DataFrame:
         return next(g for g in self.graphs if isinstance(g, TableGraph) and table in g.tables).columns(table, predicates)
 
+    def row(self, table: str, predicates: list[str]) -> DataFrame:
+        return next(g for g in self.graphs if isinstance(g, TableGraph) and table in g.tables).row(table, predicates)
+
     def subjects(self, table: str) -> DataFrame:
         return next(g for g in self.graphs if isinstance(g, TableGraph) and table in g.tables).subjects(table)
 

@@ -68,3 +68,9 @@ def test_whole_graph_is_counted_not_copied(spark, duck):
     test_same_as_sql(spark, duck, "ne_nodes_matching")
     test_same_as_sql(spark, duck, "ne_instances_of")
     assert "collect_list" not in plan(spark, "ne_nodes_matching")
+
+
+def test_back_and_forth_on_one_table_is_no_join(spark):
+    """From orders to lineitem and on to a column of its own: lineitem is read once for it."""
+    assert plan(spark, "jn_less_than").count("lineitem.parquet") == 1
+    assert plan(spark, "jn_disjoint").count("lineitem.parquet") == 1
