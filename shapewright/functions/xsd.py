@@ -172,9 +172,15 @@ def escaped(lex: Column) -> Column:
 
 
 def unescaped(text: Column) -> Column:
+    # between escaped backslashes, each part by itself
+    whole = F.array_join(F.transform(F.split(text, r"\\\\"), unescaped_part), "\\")
+    return F.when(text.contains("\\\\"), whole).otherwise(unescaped_part(text))
+
+
+def unescaped_part(text: Column) -> Column:
     for a, b in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f"), ('\\"', '"')):
         text = F.replace(text, F.lit(a), F.lit(b))
-    return F.replace(text, F.lit("\\\\"), F.lit("\\"))
+    return text
 
 
 def term_of_key(k: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.library import call, ebv, equal, integer, let, numeric, quotient, string, text
-from ..functions.xsd import DEC, NUMERIC, TERM, constant
+from ..functions.xsd import DEC, FIELDS, NUMERIC, TERM, constant
 from ..operators.paths import walk
 from ..sources.graph import Graph
 from ..terms import RDF, TYPE, XSD, ShapeError, is_iri, literal, parts
@@ -502,6 +502,16 @@ def aggregates(e) -> list[tuple]:
     return []
 
 
+VALUES = ("num", "dec", "ts", "tz")  # what a term compares by: of fixed width, so hash aggregates can hold it
+
+
+def rebuilt(k: Column, values: dict[str, Column]) -> Column:
+    """A term from its key and what it compares by."""
+    from ..functions.xsd import let, term, term_of_key
+
+    return F.when(k.isNotNull(), let([term_of_key(k)], lambda t: term(*[values[f] if f in values else t[0].getField(f) for f in FIELDS])))
+
+
 class Solution:
     """Variables and what they are bound to, where there is no frame yet that has them as columns."""
 
@@ -665,10 +675,39 @@ class Engine:
             touches = lambda t: any(x[0] == "var" and x[1] in have for x in (t[0], t[2])) or not have or not any(x[0] == "var" for x in (t[0], t[2]))
             closure = lambda t: isinstance(t[1], Path) and t[1].op in ("star", "plus", "opt")
             t = min(todo, key=lambda t: (not touches(t), closure(t), free(t), todo.index(t)))
-            todo.remove(t)
-            df = self.pattern(df, t, graph)
+            same = self.on_rows(df, t, todo, graph)
+            todo = [x for x in todo if x not in same and x is not t]
+            df = self.rows(df, same, graph) if len(same) > 1 else self.pattern(df, t, graph)
         return df
 
+    def on_rows(self, df: DataFrame, t: tuple, todo: list[tuple], graph: Graph) -> list[tuple]:
+        """Those of the patterns that ask columns of one table of the subject of t, and bind nothing twice."""
+        have = self.vars_of(df)
+        of = lambda x: graph.table_of(x[1].args[0]) if isinstance(x[1], Path) and x[1].op == "pred" else None
+        if t[0][0] != "var" or of(t) is None or t[0][1] in self.maybe or not (t[0][1] in have or df is self.unit):
+            return []
+        out, names = [], {t[0][1], *have}
+        for x in [t, *(x for x in todo if x is not t)]:
+            if x[0] == t[0] and of(x) == of(t) and x not in out and (x[2][0] == "term" or x[2][1] not in names):
+                out.append(x)
+                names |= {x[2][1]} if x[2][0] == "var" else set()
+        return out if t in out else []
+
+    def rows(self, df: DataFrame, triples: list[tuple], graph: Graph) -> DataFrame:
+        """Patterns that a row of a table answers together: one scan, no join of the table to itself."""
+        from ..functions.xsd import node_term
+
+        preds, name = [x[1].args[0] for x in triples], triples[0][0][1]
+        rel = graph.row(graph.table_of(preds[0]), preds).withColumnsRenamed({"s": "_s", **{f"o{i}": f"_o{i}" for i in range(len(preds))}})
+        add = {} if name in self.vars_of(df) else {name: node_term(F.col("_s"))}
+        for i, x in enumerate(triples):
+            if x[2][0] == "term":
+                rel = rel.where(F.col(f"_o{i}.k") == x[2][1])
+            else:
+                add[x[2][1]] = F.col(f"_o{i}")
+        out = rel.withColumn("_one", F.lit(1)) if df is self.unit else df.join(rel, F.col(f"`{name}`.k") == F.col("_s"))
+        return out.select(*[F.col(f"`{c}`") for c in df.columns], *[v.alias(c) for c, v in add.items()])
+
     def pattern(self, df: DataFrame, t: tuple, graph: Graph) -> DataFrame:
         s, p, o = t
         have = self.vars_of(df)
@@ -776,19 +815,24 @@ class Engine:
         keys: dict[str, Column] = {c: F.col(f"`{c}`") for c in carried}
         for n, (name, e) in enumerate(q.group):
             keys[name or f"_g{n}"] = self.expr(e, df)
+        found = list({repr(a): a for x in (*[e for _, e in q.items or []], *q.having, *[e for _, e in q.order]) for a in aggregates(x)}.values())
+        # only what is grouped by and summed up goes on; a key's text is made of its key again
         for k, v in keys.items():
             df = df.withColumn(k, v)
-        found = list({repr(a): a for x in (*[e for _, e in q.items or []], *q.having, *[e for _, e in q.order]) for a in aggregates(x)}.values())
-        aggs, names = [], {}
+        aggs, names, ins = [], {}, []
         for n, a in enumerate(found):
             names[repr(a)] = f"_a{n}"
-            aggs += self.aggregate(a, df, f"_a{n}")
+            own, made = self.aggregate(a, df, f"_a{n}")
+            ins += own
+            aggs += made
         pairs = [F.col(f"`{k}`.k").alias(f"_k{i}") for i, k in enumerate(keys)]
-        firsts = [F.first(f"`{k}`").alias(k) for k in keys]
+        rest = [F.col(f"`{k}`.{f}").alias(f"_k{i}{f}") for i, k in enumerate(keys) for f in VALUES]
         if not pairs:
-            out = df.agg(*aggs) if aggs else df.limit(1)
+            out = df.select(*ins, F.lit(1).alias("_n")).agg(*aggs) if aggs else df.limit(1)
         else:
-            out = df.groupBy(*pairs).agg(*firsts, *(aggs or [F.count(F.lit(1)).alias("_n")]))
+            out = df.select(*pairs, *rest, *ins).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(*[F.first(f"_k{i}{f}").alias(f"_k{i}{f}") for i in range(len(keys)) for f in VALUES], *(aggs or [F.count(F.lit(1)).alias("_n")]))
+            terms = [rebuilt(F.col(f"_k{i}"), {f: F.col(f"_k{i}{f}") for f in VALUES}).alias(k) for i, k in enumerate(keys)]
+            out = out.select(*terms, *([f"_a{n}" for n in range(len(found))] or ["_n"]))
         if self.seed is not None and not q.group and carried:
             # a focus without solutions is a group of its own: COUNT is 0
             out = self.join(self.seed.select(*carried).distinct(), out, "left")
@@ -809,25 +853,30 @@ class Engine:
         q.order = [(d, swap(e)) for d, e in q.order]
         return out
 
-    def aggregate(self, a: tuple, df: DataFrame, name: str) -> list[Column]:
+    def aggregate(self, a: tuple, df: DataFrame, name: str) -> tuple[list[Column], list[Column]]:
+        """The columns an aggregate needs of each solution, and what sums them up."""
         _, kind, distinct, e, sep = a
         if e is None:
-            return [F.count(F.lit(1)).alias(name)]
+            return [], [F.count(F.lit(1)).alias(name)]
         x = self.expr(e, df)
         k = x.getField("k")
+        of = lambda f: F.col(f"{name}{f}")
         if kind == "count":
-            return [(F.countDistinct(k) if distinct else F.count(k)).alias(name)]
+            return ([k.alias(f"{name}k")], [F.countDistinct(of("k")).alias(name)]) if distinct else ([k.isNotNull().alias(f"{name}k")], [F.count_if(of("k")).alias(name)])
         if kind in ("sum", "avg"):
-            num, dec = x.getField("num"), x.getField("dec")
+            dt = x.getField("dt")
+            rank = F.when(dt.isin(XSD + "double", XSD + "float"), 3).when(dt == XSD + "decimal", 2).otherwise(1)
             pick = F.sum_distinct if distinct else F.sum
-            return [F.struct(pick(num).alias("num"), pick(dec).alias("dec"), F.count(k).alias("n"), F.count(num).alias("good"), F.max(F.when(x.getField("dt").isin(XSD + "double", XSD + "float"), 3).when(x.getField("dt") == XSD + "decimal", 2).otherwise(1)).alias("rank")).alias(name)]
+            ins = [x.getField("num").alias(f"{name}num"), x.getField("dec").alias(f"{name}dec"), k.isNotNull().alias(f"{name}k"), rank.alias(f"{name}rank")]
+            return ins, [F.struct(pick(of("num")).alias("num"), pick(of("dec")).alias("dec"), F.count_if(of("k")).alias("n"), F.count(of("num")).alias("good"), F.max(of("rank")).alias("rank")).alias(name)]
         if kind in ("min", "max"):
-            order = F.struct(x.getField("num").alias("a"), x.getField("ts").alias("b"), x.getField("lex").alias("c"))
-            return [(F.min_by if kind == "min" else F.max_by)(x, F.when(k.isNotNull(), order)).alias(name)]
+            ins = [x.getField(f).alias(f"{name}{f}") for f in ("k", "lex", *VALUES)]
+            order = F.struct(of("num").alias("a"), of("ts").alias("b"), of("lex").alias("c"))
+            return ins, [(F.min_by if kind == "min" else F.max_by)(F.struct(*[of(f).alias(f) for f in ("k", *VALUES)]), F.when(of("k").isNotNull(), order)).alias(name)]
         if kind == "sample":
-            return [F.min_by(x, k).alias(name)]
-        values = F.collect_set(text(x)) if distinct else F.collect_list(text(x))
-        return [F.array_join(F.array_sort(values), sep).alias(name)]
+            return [x.alias(f"{name}x")], [F.min_by(of("x"), of("x").getField("k")).alias(name)]
+        values = F.collect_set(of("x")) if distinct else F.collect_list(of("x"))
+        return [text(x).alias(f"{name}x")], [F.array_join(F.array_sort(values), sep).alias(name)]
 
     def finished(self, a: tuple, name: str, df: DataFrame) -> Column:
         _, kind, _, e, _ = a
@@ -843,7 +892,7 @@ class Engine:
             return F.when(n == 0, constant(literal("0", XSD + "integer"))).when(ok, numeric(num, dec.try_cast(DEC), dt))
         if kind == "group_concat":
             return string(F.coalesce(c, F.lit("")))
-        return c
+        return rebuilt(c.getField("k"), {f: c.getField(f) for f in VALUES}) if kind in ("min", "max") else c
 
     def select(self, q: Query, graph: Graph | None = None) -> DataFrame:
         graph = graph or self.graph

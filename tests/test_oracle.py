@@ -74,3 +74,11 @@ def test_back_and_forth_on_one_table_is_no_join(spark):
     """From orders to lineitem and on to a column of its own: lineitem is read once for it."""
     assert plan(spark, "jn_less_than").count("lineitem.parquet") == 1
     assert plan(spark, "jn_disjoint").count("lineitem.parquet") == 1
+
+
+def test_groups_read_a_table_once(spark, duck):
+    """Columns of one subject come from one scan; keys and means are summed up without sorting all rows."""
+    for name in ("sq_avg", "sq_group"):
+        test_same_as_sql(spark, duck, name)
+        assert plan(spark, name).count("FileScan") == 1
+    assert "SortAggregate" not in plan(spark, "sq_avg")

@@ -184,3 +184,11 @@ def test_whole_operands(spark):
             assert r.q == ratio or r.q is None and abs(ratio) >= 10**19
             if r.x % 1 == r.y % 1 == 0 < r.y <= 9 * 10**9:
                 assert r.w == abs(ratio)
+
+
+def test_escaped_backslash_before_a_letter(spark):
+    from shapewright.functions.xsd import escaped
+
+    texts = ["a\\nb", "\\", "\\\\n\n", "x\\\"", "end\\", "t\\\t"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", term_of_key(F.concat(F.lit('"'), escaped(F.col("t")), F.lit('"'))).alias("o")).collect()
+    assert [r.o.lex for r in rows] == texts == [r.t for r in rows]
